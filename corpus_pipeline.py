@@ -1,17 +1,75 @@
-"""The corpus pipeline: language ID, near-dedup, decontamination, mixing, sharding."""
+"""The corpus pipeline: language ID, near-dedup, decontamination, mixing, sharding.
+
+Every stage takes all rows that the one before it kept and returns the columns of documents; the last adds the place of
+each row. run() writes each stage's result in the shared folder, so that a lost executor never costs a whole pipeline.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.llm import fmindex, langmix, minhash, mixing, sharding
+from tallyforge.llm.shared import Workspace, table
 
-from tallyforge.llm.shared import table
+#: A text is rejected if its best language has less than this share of it, or if it has no letter.
+LEAST_SHARE = 0.5
+#: Shingles of five words, similarity 0.8 or more.
+NEAR = minhash.Plan(percent=80, rows=7)
+#: Words of a block of the mix: most documents stay whole.
+MIX_BLOCK = 512
+SHARDS = 16
 
-STAGES: list = []
+#: The stages learn, permute and draw by hashes that SQL lacks; a brute-force version tests them instead.
 ORACLE_SQL = None
 
 
+def _with_text(docs: DataFrame) -> DataFrame:
+    """n_chars after a change of text."""
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a letter and texts that no language has half of; the others stay as they are."""
+    found = langmix.mixtures(docs, langmix.learned(docs))
+    return found.where((F.col("lang_pred") != langmix.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each near-duplicate group, and all texts without words.
+
+    Rows that repeat the kept id keep one row."""
+    rows = Workspace(spark, "dedup").write(minhash.near_duplicates(docs, NEAR), "rows")
+    kept = rows.where(F.col("kept") | F.col("component_id").isNull()).groupBy("doc_id").count()
+    named = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    often = kept.where("count > 1")
+    if often.isEmpty():
+        return named
+    once = named.join(often, named["doc_id"].eqNullSafe(often["doc_id"]), "left_anti")
+    return once.unionByName(named.join(often, named["doc_id"].eqNullSafe(often["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts the words of benchmark passages out of the texts; every document stays."""
+    return _with_text(fmindex.decontaminate(docs, table(spark, sf_dir, "benchmark"))).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draws blocks of the sources to their target shares; one row for each stretch of a document in a drawn block."""
+    return _with_text(mixing.mixed_documents(docs, block=MIX_BLOCK)).select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds shard and slot."""
+    return sharding.sharded(docs, SHARDS)
+
+
+STAGES = [("language ID", language), ("near-dedup", dedup), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    ws = Workspace(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = ws.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

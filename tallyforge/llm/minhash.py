@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -28,8 +29,10 @@ from .shared import Workspace
 
 #: Members of one block of a bucket in the second round.
 BLOCK = 256
-#: Standard deviations that a sketch may be off before its pair is left out: about one in 10^9.
-SIGMAS = 6.0
+#: Up to this many ids (8 MB) are broadcast to pick the texts of candidates; with more, texts are shuffled by id.
+BROADCAST_IDS = 1_000_000
+#: Standard deviations that a sketch may be off before its pair is left out: about one in 10^6.
+SIGMAS = 5.0
 
 
 @dataclass(frozen=True)
@@ -192,19 +195,17 @@ def signed(docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFrame
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(sign, f"id {kind}, node binary, n_shingles long, bands array<long>, sketch array<long>")
 
 
-def _whole_sets(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(node, shingles) of rows (text)."""
+def _packed_texts(docs: DataFrame, plan: Plan) -> DataFrame:
+    """(node, packed) of rows (text): the whole text, compressed, is a third of its set's size."""
     signer = Signer(plan)
 
-    def sets_of(batches):
+    def pack(batches):
         for batch in batches:
-            for _, sets in signer.sets(batch.column(0)):
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                offsets = np.zeros(len(sets) + 1, np.int32)
-                np.cumsum([len(s) for s in sets], out=offsets[1:])
-                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))], names=["node", "shingles"])
+            for i, sets in signer.sets(batch.column(0)):
+                texts = batch.column(0).slice(i, len(sets)).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in texts], pa.binary())], names=["node", "packed"])
 
-    return docs.select("text").mapInArrow(sets_of, "node binary, shingles array<long>")
+    return docs.select("text").mapInArrow(pack, "node binary, packed binary")
 
 
 def _apart(plan: Plan, left: str, right: str):
@@ -224,12 +225,30 @@ def _near_enough(plan: Plan, a: str, b: str):
     return (100 * small >= plan.percent * large) & (_apart(plan, f"{a}_sketch", f"{b}_sketch") <= plan.most_apart)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     """Of pairs (a, b) those whose whole sets reach the threshold."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= plan.percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    signer = Signer(plan)
+    left = texts.select(F.col("node").alias("a"), F.col("packed").alias("pa"))
+    right = texts.select(F.col("node").alias("b"), F.col("packed").alias("pb"))
+
+    def sets_of(column):
+        blobs = column.to_pylist()
+        place = {blob: k for k, blob in enumerate(dict.fromkeys(blobs))}
+        plain = pa.array([zlib.decompress(blob) for blob in place], pa.binary())
+        sets = [s for _, part in signer.sets(plain) for s in part]
+        return [sets[place[blob]] for blob in blobs]
+
+    def confirm(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                keep = []
+                for x, y in zip(sets_of(part.column(2)), sets_of(part.column(3)), strict=True):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(100 * both >= plan.percent * (len(x) + len(y) - both))
+                yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(confirm, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, plan: Plan | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,24 +277,25 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None, id_col: str = "do
     near = ws.write(near, "near")
     labels = {x: near.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch")) for x in "ab"}
 
-    # First round: each member and the two nearest of its buckets' smallest nodes.
-    stars = buckets.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    stars = stars.join(labels["a"], "a").join(labels["b"], "b").where(_near_enough(plan, "a", "b"))
-    stars = stars.select("a", "b", _apart(plan, "a_sketch", "b_sketch").alias("apart"))
-    nearest = Window.partitionBy("a").orderBy("apart", "b")
-    first = ws.write(stars.withColumn("r", F.row_number().over(nearest)).where("r <= 2").select("a", "b"), "stars")
+    # First round: each member and, of its buckets' smallest nodes, the one with which it shares the most buckets.
+    stars = buckets.where("node != pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("bands"))
+    stars = stars.groupBy("node").agg(F.min_by("pivot", F.struct(-F.col("bands"), "pivot")).alias("pivot"))
+    stars = stars.select(F.col("node").alias("a"), F.col("pivot").alias("b")).join(labels["a"], "a").join(labels["b"], "b")
+    first = ws.write(stars.where(_near_enough(plan, "a", "b")).select("a", "b"), "stars")
 
-    # The whole sets of the nodes that any pair may ask for; one row of documents for each.
+    # The whole texts of the nodes that any pair may ask for; one row of documents for each.
     wanted = near.select(F.col("smallest").alias("id"), "node")
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    chosen = chosen.join(wanted.select("id").distinct(), chosen["id"].eqNullSafe(wanted["id"]), "left_semi")
-    sets = _whole_sets(chosen, plan).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    sets = ws.write(sets, "sets")
-    edges = ws.write(_confirmed(first, sets, plan), "links")
+    ids = ws.write(wanted.select("id").distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    chosen = chosen.join(ids, chosen["id"].eqNullSafe(ids["id"]), "left_semi")
+    texts = _packed_texts(chosen, plan).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    texts = ws.write(texts, "texts")
+    edges = ws.write(_confirmed(first, texts, plan), "links")
     labelled = components(ws, edges)
 
     # Second round: members of buckets that hold several components meet in blocks, those of other components only.
-    named = buckets.select("key", "node", "m").join(labelled, "node", "left").select("key", "node", "m", F.coalesce("component", "node").alias("component"))
+    named = buckets.select("key", "node").join(labelled, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("of")).where("low != high")
     inside = named.join(mixed.select("key", "of"), "key").join(near.select("node", "n", "sketch"), "node")
     blocks = F.ceil(F.col("of") / BLOCK).cast("int")
@@ -290,8 +310,17 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None, id_col: str = "do
         & ((F.col("a_own") != F.col("b_own")) | (F.col("low") == F.col("high")))
         & _near_enough(plan, "a", "b")
     )
-    met = met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
-    more = ws.write(_confirmed(ws.write(met, "met"), sets, plan), "more")
+    met = met.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.first(_apart(plan, "a_sketch", "b_sketch")).alias("apart"))
+    met = ws.write(met, "met")
+    # Each node's nearest new partner first; what these links leave in different components is confirmed pair by pair.
+    ends = met.select(F.col("a").alias("node"), "a", "b", "apart").unionByName(met.select(F.col("b").alias("node"), "a", "b", "apart"))
+    nearest = ends.groupBy("node").agg(F.min(F.struct("apart", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+    edges = ws.write(edges.unionByName(_confirmed(ws.write(nearest, "nearest"), texts, plan)), "links")
+    labelled = components(ws, edges)
+    place = {x: labelled.select(F.col("node").alias(x), F.col("component").alias(f"{x}_component")) for x in "ab"}
+    rest = met.select("a", "b").join(place["a"], "a", "left").join(place["b"], "b", "left")
+    rest = rest.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
+    more = ws.write(_confirmed(ws.write(rest, "rest"), texts, plan), "more")
     if not more.isEmpty():
         labelled = components(ws, edges.unionByName(more))
 
@@ -301,5 +330,5 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None, id_col: str = "do
     reach = nodes.select("node", "smallest").join(final, "node", "left").select("node", F.coalesce("component_id", "smallest").alias("component_id"))
     out = rows.where("node is not null").join(reach, "node").select("id", "n_shingles", "component_id")
     out = out.unionByName(rows.where("node is null").select("id", "n_shingles", F.col("id").alias("component_id")))
-    ws.drop(sets, inside)
+    ws.drop(texts, inside)
     return out.select(F.col("id").cast(kind).alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
