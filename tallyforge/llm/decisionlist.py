@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE_CHARS, words_of
+from .shared import SPACE_CHARS, Workspace, words_of
 
 #: Features of the learned conditions, in the order of the cells.
 FEATURES = ("n_words", "mean_word", "symbol_share", "dup_lines", "repeat_share")
@@ -31,7 +31,8 @@ _SYMBOLS = "#*$%&|<>"
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long) of each whole text.
 
-    Null and empty texts have zeros. docs must not have columns of these names or beginning with _q.
+    Null and empty texts have zeros. docs must not have columns of these names or beginning with _q. Write the result
+    before filtering on it: Spark would move the filter below the columns and compute them within it, again and again.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     blank = lambda c: F.translate(c, SPACE_CHARS, "")
@@ -176,7 +177,7 @@ def learn(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, the five statistics, base_failed, kept) of every row; repeated rows are judged alike."""
-    stats = statistics(docs.select("doc_id", "text")).drop("text")
-    labelled = statistics(docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")).drop("text")
-    rules = learn(labelled, labels)
+    ws = Workspace(docs.sparkSession, "quality")
+    stats = ws.write(statistics(docs.select("doc_id", "text")).drop("text"), "statistics")
+    rules = learn(stats, labels)
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & rules.keeps())

@@ -249,7 +249,7 @@ def _scanner(phrases_of, text_at: int, old: tuple[int, int, int] | None):
             at += n
 
     def scan(batches):
-        phrases = phrases_of.value
+        phrases = Phrases(*phrases_of.value)
         get = phrases.vocabulary.get
         pending, counts, numbers, kept, held = [], [], [], 0, 0
         for whole in batches:
@@ -302,7 +302,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in plain] + extra)
     text_at = [f.name for f in plain].index(text_col)
     for k, block in enumerate(_blocks(benchmark, item_id, item_text)):
-        sent = sc.broadcast(Phrases.of(block, window))
+        found = Phrases.of(block, window)
+        sent = sc.broadcast((found.vocabulary, found.matrix, found.length, found.owners))  # plain values: executors may lack this module
         old = (len(plain), len(plain) + 1, len(plain) + 2) if k else None
         out = out.mapInArrow(_scanner(sent, text_at, old), schema)
     return out

@@ -179,10 +179,10 @@ def mixtures(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     letters lie outside the words known here falls to the first language by its likelihoods. Every row stays, repeated
     rows are judged alike, and very long texts are read whole. docs must not have columns of these three names.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p))  # plain values: executors may lack this module
 
     def predict(batches):
-        model = sent.value
+        model = Model(*sent.value)
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
             text, letter = batch.column(batch.num_columns - 2), np.asarray(batch.column(batch.num_columns - 1).fill_null(False))

@@ -144,6 +144,12 @@ def _fragments(mix: Mix) -> DataFrame:
     return cut.withColumn("first", first).withColumn("last", last)
 
 
+def _met(parts: DataFrame, mix: Mix) -> DataFrame:
+    """Fragments with the draws of their blocks. Both sides are expanded from small tables, whose sizes say nothing of
+    theirs: the hint keeps Spark from broadcasting one."""
+    return parts.hint("merge").join(mix.draws.select("sid", "block"), ["sid", "block"])
+
+
 def mixed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row: the words that the mix takes, repeats counted.
 
@@ -156,7 +162,7 @@ def mixed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = F.size(words_of(text))
     mix = plan(ws, docs, size, F.col(source_col), F.xxhash64(F.col(id_col), text), [F.col(id_col).alias("doc_id")])
     parts = _fragments(mix).select("sid", "block", "uid", (F.col("last") - F.col("first")).alias("n"))
-    taken = parts.join(mix.draws.select("sid", "block"), ["sid", "block"]).groupBy("uid").agg(F.sum("n").alias("taken"))
+    taken = _met(parts, mix).groupBy("uid").agg(F.sum("n").alias("taken"))
     out = mix.docs.join(taken, "uid", "left").join(mix.sources, "sid")
     return out.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
@@ -179,6 +185,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     until = F.col("last").cast("int") + F.col("_lead")
     parts = parts.withColumn("_text", F.array_join(F.slice("_tokens", begin, until - begin + 1), ""))
     parts = parts.select("sid", "block", F.col("_row").dropFields(text_col).alias("_row") if len(docs.columns) > 1 else F.struct(F.lit(1)).alias("_row"), "_text")
-    out = parts.join(mix.draws.select("sid", "block"), ["sid", "block"])
+    out = _met(parts, mix)
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     return out.select(*(F.col("_text").cast(kinds[c]).alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns))

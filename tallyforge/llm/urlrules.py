@@ -13,11 +13,14 @@ from .shared import Workspace, ascii_lower
 BLOCK, ALLOW = "block", "allow"
 #: The item that stands for a page labelled bad; no URL token can contain a space.
 BAD = "label bad"
-#: A combination must hold in this share of the labelled pages, with this share of bad ones among them, and be that
-#: much more often bad than pages are at large. MIN_SUPPORT also bounds the number of rules.
+#: A combination must hold in this share of the labelled pages and on so many of them, with this share of bad ones among
+#: them, and be that much more often bad than pages are at large. The support also bounds the number of rules.
 MIN_SUPPORT = 0.002
+MIN_PAGES = 8
 MIN_CONFIDENCE = 0.6
 MIN_LIFT = 1.5
+#: Tokens on more than this share of the labelled pages tell none apart and stay out of the combinations.
+MOST_COMMON = 0.9
 #: Up to this many mined rules are broadcast; with more Spark chooses the join.
 BROADCAST_RULES = 50_000
 
@@ -52,15 +55,15 @@ def stated(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def tokens(host: Column, path: Column, url: Column) -> Column:
-    """Distinct tokens: h:<label> of the host, s:<pieces of labels>, p:<path step>, k:<query key>, x:<scheme>; numbers as #."""
+    """Distinct tokens: h:<label> of the host, s:<piece of a label with hyphens>, p:<path step>, k:<query key>; numbers as #."""
     number = lambda c: F.regexp_replace(c, r"[0-9]+", "#")
     some = lambda a: F.filter(a, lambda x: x != "")
     tagged = lambda tag, a: F.transform(some(a), lambda x: F.concat(F.lit(f"{tag}:"), number(x)))
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\?([^#]*)", 1)
     keys = F.transform(F.split(query, "&"), lambda x: F.substring_index(x, "=", 1))
-    scheme = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\A(.*?)://", 1)
     labels = F.split(host, r"\.")
-    return F.array_distinct(F.concat(tagged("h", labels), tagged("s", F.flatten(F.transform(labels, lambda x: F.split(x, "-")))), tagged("p", F.split(path, "/")), tagged("k", keys), tagged("x", F.array(scheme))))
+    pieces = F.flatten(F.transform(F.filter(labels, lambda x: F.contains(x, F.lit("-"))), lambda x: F.split(x, "-")))
+    return F.array_distinct(F.concat(tagged("h", labels), tagged("s", pieces), tagged("p", F.split(path, "/")), tagged("k", keys)))
 
 
 def mine(labelled: DataFrame) -> DataFrame:
@@ -72,10 +75,14 @@ def mine(labelled: DataFrame) -> DataFrame:
     spark = labelled.sparkSession
     rows = labelled.where(F.size("tokens") > 0)
     empty = spark.createDataFrame([], "rule_id long, antecedent array<string>, confidence double, support double, lift double")
-    if rows.where("bad").isEmpty():
+    n, n_bad = rows.agg(F.count(F.lit(1)), F.count_if("bad")).first()
+    if not n_bad:
         return empty
-    items = rows.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=MIN_SUPPORT, minConfidence=MIN_CONFIDENCE).fit(items)
+    counts = rows.select(F.explode("tokens").alias("token")).groupBy("token").count()
+    common = [r["token"] for r in counts.where(F.col("count") > MOST_COMMON * n).collect()]  # at most tokens per page / MOST_COMMON
+    told = F.array_except("tokens", F.array(*map(F.lit, common)).cast("array<string>"))
+    items = rows.select(F.when(F.col("bad"), F.concat(told, F.array(F.lit(BAD)))).otherwise(told).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(MIN_SUPPORT, MIN_PAGES / n)), minConfidence=MIN_CONFIDENCE).fit(items)
     rules = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= MIN_LIFT))
     rules = rules.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("antecedent"), "confidence", "support", "lift")
     # Prune by inverted index: a shorter rule with one token of a longer one may imply it.
