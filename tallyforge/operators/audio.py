@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 RATE = 16_000
@@ -25,7 +26,7 @@ def decode_wav(data: bytes) -> list[float]:
         return np.nan_to_num(raw.reshape(-1, f.getnchannels()).mean(axis=1)).tolist()
 
 
-@pandas_udf("array<double>")
+@pandas_udf(T.ArrayType(T.DoubleType()))
 def samples(data: pd.Series) -> pd.Series:
     return data.map(decode_wav)
 

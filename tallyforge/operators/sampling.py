@@ -7,18 +7,19 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import dims
 
 
-@pandas_udf("long")
+@pandas_udf(T.LongType())
 def digest_shard(text: pd.Series, shards: pd.Series) -> pd.Series:
     """blake2b of 8 bytes, read big-endian, modulo the number of shards."""
     return pd.Series([int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=8).digest(), "big") % n for t, n in zip(text, shards, strict=True)])
 
 
-@pandas_udf("int")
+@pandas_udf(T.IntegerType())
 def digest_half(key: pd.Series) -> pd.Series:
     """blake2b of 4 bytes, read little-endian, modulo 2."""
     return pd.Series([int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=4).digest(), "little") % 2 for t in key]).astype("int32")
