@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import cdc, decisionlist, fmindex, langmix, licenses, mixing, sharding, sitetemplates, urlrules
 from .minhash import near_duplicates
@@ -32,7 +33,8 @@ def op3_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cdc.repeated_passages(table(spark, sf_dir, "documents"))
+    """The documents that repeat passages of others, with the spans to remove and the documents that keep them."""
+    return cdc.repeated_passages(table(spark, sf_dir, "documents")).where(F.size("spans") > 0)
 
 
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,12 +78,10 @@ ORACLE_SQL: dict[str, str] = {
     "op1_minmax_near_dedup": f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
-s AS (
-  SELECT doc_id, CASE WHEN len(ws) >= 5
-    THEN list_distinct([array_to_string(ws[i:i+4], ' ') FOR i IN range(1, len(ws) - 3)])
-    WHEN len(ws) > 0 THEN ['short ' || len(ws)::VARCHAR || ' ' || array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
-n AS (SELECT doc_id, len(sh)::BIGINT AS n_shingles FROM s),
-e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+u AS (SELECT doc_id, len(ws) AS k, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT doc_id, k, i, concat_ws(' ', x, lead(x, 1) OVER p, lead(x, 2) OVER p, lead(x, 3) OVER p, lead(x, 4) OVER p) AS g FROM u WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT DISTINCT doc_id, CASE WHEN k < 5 THEN 'short ' || k::VARCHAR || ' ' || g ELSE g END AS g FROM g WHERE CASE WHEN k < 5 THEN i = 1 ELSE i <= k - 4 END),
+n AS (SELECT w.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles FROM w LEFT JOIN (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id) c USING (doc_id)),
 b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM e x JOIN e y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
 l AS (SELECT b.a, b.b FROM b JOIN n p ON p.doc_id = b.a JOIN n q ON q.doc_id = b.b
       WHERE 100 * b.k >= 85 * (p.n_shingles + q.n_shingles - b.k)),
