@@ -158,8 +158,8 @@ def learn(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     rows the list is empty and keeps everything.
     """
     marked = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("_key"), (F.col(label) == bad).alias("bad"))
-    rows = stats.select(F.col(key).alias("_key"), *(c for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))).where(~base_failed()).join(marked, "_key")
-    rows = rows.persist()
+    rows = stats.select(F.col(key).alias("_key"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").join(marked, "_key")
+    rows = Workspace(stats.sparkSession, "quality").write(rows, "labelled").where(~base_failed()).persist()
     try:
         found = rows.agg(*(F.percentile_approx(value, list(QUANTILES), 10_000).alias(name) for name, value in features().items())).first()
         cuts = {name: sorted(set(found[name] or [])) for name in FEATURES}
