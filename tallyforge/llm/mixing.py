@@ -28,6 +28,8 @@ BLOCK = 32
 SHARD_BLOCKS = 32_768
 BUCKET_ROWS = 4096
 SEED = 60_013
+#: Offsets of up to so many documents (some 60 MB) are broadcast to their texts; with more, texts are shuffled by document.
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass
@@ -86,7 +88,7 @@ def permuted(index: Column, size: Column, key: Column) -> Column:
 def plan(ws: Workspace, docs: DataFrame, size: Column, source: Column, order: Column, carry: list[Column], block: int = BLOCK, seed: int = SEED) -> Mix:
     """Targets, stream offsets and draws. order: a pseudorandom long for each row, the same in every run."""
     slim = docs.select(size.cast("long").alias("size"), source.cast("string").alias("source"), F.xxhash64(order, F.lit(seed)).alias("order"), *carry)
-    slim = ws.write(slim.withColumn("uid", F.monotonically_increasing_id()), "sized")
+    slim = ws.write(slim.withColumn("uid", F.monotonically_increasing_id()), "sized")  # written, so uids stay
     found = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     sources = ws.write(targets(found.select("source", "source_size")), "sources")
     total = sources.agg(F.count(F.lit(1)), F.sum("target")).first()
@@ -95,14 +97,15 @@ def plan(ws: Workspace, docs: DataFrame, size: Column, source: Column, order: Co
 
     # Offsets by two levels of prefix sums, so that no source is summed in one task.
     buckets = max(1, -(-rows // BUCKET_ROWS))
-    named = slim.join(sources.select("sid", F.col("source").alias("_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
+    named = slim.select("uid", "size", "source", "order").join(sources.select("sid", F.col("source").alias("_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
     named = named.withColumn("bucket", F.pmod("order", F.lit(buckets)))
     sums = named.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("base", F.coalesce(F.sum("words").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).drop("words")
     within = Window.partitionBy("sid", "bucket").orderBy("order", "size", "uid").rowsBetween(Window.unboundedPreceding, -1)
     placed = named.withColumn("offset", F.coalesce(F.sum("size").over(within), F.lit(0).cast("long"))).join(sums, ["sid", "bucket"])
-    placed = placed.withColumn("offset", F.col("offset") + F.col("base")).drop("bucket", "base", "order")
-    placed = ws.write(placed, "placed")
+    placed = ws.write(placed.select("uid", "sid", "size", (F.col("offset") + F.col("base")).alias("offset")), "placed")
+    small = F.broadcast(placed) if rows <= BROADCAST_ROWS else placed
+    placed = slim.drop("source", "size", "order").join(small, "uid")  # what is carried, texts perhaps, is not shuffled for the offsets
 
     # Counts by shard and source: floor of the cumulative expectation plus whether the stratum's point lies below it.
     per_shard = max(SHARD_BLOCKS, 16 * n_sources)
