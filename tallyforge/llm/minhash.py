@@ -7,7 +7,7 @@ used is confirmed on the two whole shingle sets.
 Sets, not rows, are the nodes: rows with the same set (exact copies above all) fold into one node before anything is
 paired. A bucket is never expanded into all its pairs: each member first meets the bucket's smallest node, the links
 are contracted into components, and only members of buckets that still hold several components meet each other, in
-blocks, with the sketch test inside the join. Nothing is capped.
+blocks that give back no more links than join their components. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from . import kernels as K
 from .components import components
 from .shared import Workspace
 
-#: Members of one block of a bucket in the second round.
-BLOCK = 256
+#: Members of one block of a bucket in the second round; a task holds two blocks at a time.
+BLOCK = 512
 #: Up to this many ids (8 MB) are broadcast to pick the texts of candidates; with more, texts are shuffled by id.
 BROADCAST_IDS = 1_000_000
 #: Standard deviations that a sketch may be off before its pair is left out: about one in 10^6.
@@ -225,33 +225,104 @@ def _near_enough(plan: Plan, a: str, b: str):
     return (100 * small >= plan.percent * large) & (_apart(plan, f"{a}_sketch", f"{b}_sketch") <= plan.most_apart)
 
 
+class _Sets:
+    """Shingle sets of packed texts, held up to a number of bytes."""
+
+    def __init__(self, signer: Signer, most: int = 64 << 20):
+        self.signer, self.most = signer, most
+        self.held: dict[bytes, np.ndarray] = {}
+        self.size = 0
+
+    def of(self, packed: bytes) -> np.ndarray:
+        if (found := self.held.get(packed)) is None:
+            plain = pa.array([zlib.decompress(packed)], pa.binary())
+            found = next(self.signer.sets(plain))[1][0]
+            if self.size + found.nbytes > self.most:
+                self.held.clear()
+                self.size = 0
+            self.held[packed] = found
+            self.size += found.nbytes
+        return found
+
+    def linked(self, a: bytes, b: bytes) -> bool:
+        x, y = self.of(a), self.of(b)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= self.signer.plan.percent * (len(x) + len(y) - both)
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     """Of pairs (a, b) those whose whole sets reach the threshold."""
     signer = Signer(plan)
     left = texts.select(F.col("node").alias("a"), F.col("packed").alias("pa"))
     right = texts.select(F.col("node").alias("b"), F.col("packed").alias("pb"))
 
-    def sets_of(column):
-        blobs = column.to_pylist()
-        place = {blob: k for k, blob in enumerate(dict.fromkeys(blobs))}
-        plain = pa.array([zlib.decompress(blob) for blob in place], pa.binary())
-        sets = [s for _, part in signer.sets(plain) for s in part]
-        return [sets[place[blob]] for blob in blobs]
-
     def confirm(batches):
+        sets = _Sets(signer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                keep = []
-                for x, y in zip(sets_of(part.column(2)), sets_of(part.column(3)), strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= plan.percent * (len(x) + len(y) - both))
-                yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            keep = [sets.linked(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(confirm, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, plan: Plan | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _block_links(rows: list, plan: Plan, sets: _Sets) -> list[tuple[bytes, bytes]]:
+    """Links that join the components of one block of a bucket, each confirmed; at most one fewer than its rows.
+
+    rows: (low, high, own, node, component, n, bands, sketch, packed, band). A pair is looked at in the bucket of the
+    first band that it shares, unless it is joined already.
+    """
+    band = rows[0][9]
+    own = np.array([r[2] for r in rows])
+    n = np.array([r[5] for r in rows], np.int64)
+    bands = np.array([r[6] for r in rows], np.int64)
+    sketch = np.array([r[7] for r in rows], np.int64).view(np.uint64)
+    _, root = np.unique(np.array([r[4].hex() for r in rows]), return_inverse=True)
+    within, low = rows[0][0] == rows[0][1], rows[0][0]
+    lanes = np.uint64(0x5555555555555555)
+    out = []
+    for i in range(len(rows)):
+        if not within and own[i] != low:
+            continue
+        other = (root != root[i]) & (np.arange(len(rows)) > i if within else own != low)
+        other &= 100 * np.minimum(n, n[i]) >= plan.percent * np.maximum(n, n[i])
+        at = np.flatnonzero(other)
+        at = at[~(bands[at, :band] == bands[i, :band]).any(axis=1)]
+        x = sketch[at] ^ sketch[i]
+        apart = np.bitwise_count((x | (x >> np.uint64(1))) & lanes).sum(axis=1)
+        for j in at[np.argsort(apart, kind="stable")][: int((apart <= plan.most_apart).sum())].tolist():
+            if root[j] != root[i] and sets.linked(rows[i][8], rows[j][8]):
+                out.append((rows[i][3], rows[j][3]))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def _joined(members: DataFrame, plan: Plan) -> DataFrame:
+    """Links (a, b) between the components of each block of members."""
+    signer = Signer(plan)
+    names = ["low", "high", "own", "node", "component", "n", "bands", "sketch", "packed", "band"]
+
+    def join(batches):
+        sets, held, key = _Sets(signer), [], None
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            columns = [batch.column(k).to_pylist() for k in range(1, 11)]
+            found = []
+            for now, row in zip(keys, zip(*columns, strict=True), strict=True):
+                if now != key and held:
+                    found += _block_links(held, plan, sets)
+                    held = []
+                key = now
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+        if held:
+            found = _block_links(held, plan, sets)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    grouped = members.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return grouped.select("key", *names).mapInArrow(join, "a binary, b binary")
+
+
+def near_duplicates(docs: DataFrame, plan: Plan | None = None, id_col: str = "doc_id", text_col: str = "text", ws: Workspace | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
     Texts are lower-cased (A-Z) and cut at white space; a set holds the distinct runs of plan.shingle words, or the
@@ -261,7 +332,7 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None, id_col: str = "do
     """
     plan = plan or Plan()
     spark: SparkSession = docs.sparkSession
-    ws = Workspace(spark, "minhash")
+    ws = ws or Workspace(spark, "minhash")
     sig = ws.write(signed(docs, plan, id_col, text_col), "signatures")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = sig.select("id", "node", "n_shingles")
@@ -270,10 +341,10 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None, id_col: str = "do
         sig.where("node is not null").groupBy("node").agg(F.min("id").alias("smallest"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
         "nodes",
     )
-    members = nodes.select("node", F.explode("bands").alias("key"))
+    members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("pivot")).where("m > 1")
     buckets = ws.write(members.join(shared, "key"), "buckets")
-    near = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "smallest", "n", "sketch")
+    near = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "smallest", "n", "bands", "sketch")
     near = ws.write(near, "near")
     labels = {x: near.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch")) for x in "ab"}
 
@@ -295,32 +366,14 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None, id_col: str = "do
     labelled = components(ws, edges)
 
     # Second round: members of buckets that hold several components meet in blocks, those of other components only.
-    named = buckets.select("key", "node").join(labelled, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    named = buckets.select("key", "band", "node").join(labelled, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("of")).where("low != high")
-    inside = named.join(mixed.select("key", "of"), "key").join(near.select("node", "n", "sketch"), "node")
+    inside = named.join(mixed.select("key", "of"), "key").join(near.select("node", "n", "bands", "sketch"), "node").join(texts, "node")
     blocks = F.ceil(F.col("of") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     inside = inside.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     inside = inside.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    inside = ws.write(inside.select("key", "low", "high", "own", "node", "component", "n", "sketch"), "mixed")
-    left, right = (inside.select("key", "low", "high", *(F.col(c).alias(f"{x}_{c}") for c in ("own", "node", "component", "n", "sketch"))) for x in "ab")
-    met = left.join(right, ["key", "low", "high"]).where(
-        (F.col("a_component") != F.col("b_component"))
-        & (F.col("a_node") < F.col("b_node"))
-        & ((F.col("a_own") != F.col("b_own")) | (F.col("low") == F.col("high")))
-        & _near_enough(plan, "a", "b")
-    )
-    met = met.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.first(_apart(plan, "a_sketch", "b_sketch")).alias("apart"))
-    met = ws.write(met, "met")
-    # Each node's nearest new partner first; what these links leave in different components is confirmed pair by pair.
-    ends = met.select(F.col("a").alias("node"), "a", "b", "apart").unionByName(met.select(F.col("b").alias("node"), "a", "b", "apart"))
-    nearest = ends.groupBy("node").agg(F.min(F.struct("apart", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-    edges = ws.write(edges.unionByName(_confirmed(ws.write(nearest, "nearest"), texts, plan)), "links")
-    labelled = components(ws, edges)
-    place = {x: labelled.select(F.col("node").alias(x), F.col("component").alias(f"{x}_component")) for x in "ab"}
-    rest = met.select("a", "b").join(place["a"], "a", "left").join(place["b"], "b", "left")
-    rest = rest.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
-    more = ws.write(_confirmed(ws.write(rest, "rest"), texts, plan), "more")
+    more = ws.write(_joined(inside, plan), "more")
     if not more.isEmpty():
         labelled = components(ws, edges.unionByName(more))
 
@@ -330,5 +383,5 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None, id_col: str = "do
     reach = nodes.select("node", "smallest").join(final, "node", "left").select("node", F.coalesce("component_id", "smallest").alias("component_id"))
     out = rows.where("node is not null").join(reach, "node").select("id", "n_shingles", "component_id")
     out = out.unionByName(rows.where("node is null").select("id", "n_shingles", F.col("id").alias("component_id")))
-    ws.drop(texts, inside)
+    ws.drop(texts)
     return out.select(F.col("id").cast(kind).alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

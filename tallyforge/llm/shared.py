@@ -46,6 +46,10 @@ class Workspace:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
+    def clear(self) -> None:
+        """Deletes all tables, once nothing reads them any more."""
+        self._delete(self.root)
+
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
