@@ -39,7 +39,9 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each near-duplicate group, and all texts without words.
 
     Rows that repeat the kept id keep one row."""
-    rows = Workspace(spark, "dedup").write(minhash.near_duplicates(docs, NEAR), "rows")
+    held = Workspace(spark, "minhash")
+    rows = Workspace(spark, "dedup").write(minhash.near_duplicates(docs, NEAR, ws=held), "rows")
+    held.clear()
     kept = rows.where(F.col("kept") | F.col("component_id").isNull()).groupBy("doc_id").count()
     named = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
     often = kept.where("count > 1")
