@@ -57,3 +57,21 @@ def test_cuts_hang_on_nearby_bytes_alone():
 
 def test_without_spans_drops_half_characters():
     assert cdc.without_spans("aéb", [(2, 3)]) == "ab" and cdc.without_spans(None, []) is None
+
+
+def test_passages_of_fifty_short_words_are_found_whole(spark):
+    rng = random.Random(11)
+    common = "a an as at be by do go he i if in is it me my no of on or so to up us we the and for are but not you all can had her was one our out day get has him his how man new now old see two way who boy did its let put say she too use".split()
+    rows, passages = [], []
+    for k in range(200):
+        passage = " ".join(rng.choice(common) for _ in range(rng.choice([50, 51, 55, 60])))
+        passages.append(passage.encode())
+        rows += [(2 * k + d, f"{sentence(rng, rng.randrange(30, 60))} {passage} {sentence(rng, rng.randrange(30, 60))}", 0) for d in range(2)]
+    short = " ".join(rng.choice(common) for _ in range(49))
+    rows += [(1000 + k, f"{sentence(rng, 40)} {short} {sentence(rng, 40)}", 0) for k in range(2)]
+    got = {r["doc_id"]: r for r in cdc.repeated_passages(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()}
+    for k, passage in enumerate(passages):
+        at = rows[2 * k + 1][1].encode().index(passage)
+        assert any(a <= at and at + len(passage) <= b for a, b in got[2 * k + 1]["spans"])
+        assert got[2 * k + 1]["first_ids"] == [2 * k] and not got[2 * k]["spans"]
+    assert not got[1000]["spans"]
