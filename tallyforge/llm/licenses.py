@@ -1,7 +1,7 @@
 """Licence scan: TF-IDF cosine of header lines and licence files to templates, and inheritance along directories.
 
-DataFrame expressions only. Whole texts are searched for the templates' distinctive words; only texts that have one are
-cut into tokens. A file without a licence of its own takes that of the nearest directory above it with a licence file.
+DataFrame expressions only. Units without any of the words that a cosine at the limit needs are left out; all others are
+cut into tokens and scored. A file without a licence of its own takes that of the nearest directory above it with a licence file.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ TEMPLATES = {
     "MPL-2.0": "This file is subject to the terms of the Mozilla Public License, version 2.0.",
     "Proprietary": "All rights reserved.",
 }
-#: Words that a header line must hold one of.
+#: Words that the SQL looks for.
 DISTINCTIVE = ("affero", "apache", "bsd", "cc", "cc0", "gnu", "licence", "license", "licensed", "mit", "mozilla", "reserved")
 HEADER_COSINE = 0.6
 FILE_COSINE = 0.5
@@ -58,19 +58,48 @@ def weights() -> tuple[dict[str, float], dict[tuple[str, str], float], float]:
     return idf, unit, math.log(1 + n) + 1
 
 
+#: Words that `needed` leaves out first.
+COMMON = ("a", "all", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "not", "of", "on", "or", "that", "the", "this", "to", "under", "use", "with", "work", "0", "1", "2", "3")
+
+
+def needed(unit: dict[tuple[str, str], float], least: float) -> list[str]:
+    """Tokens of which a text must hold one for its rounded cosine to reach `least`.
+
+    A text that shares only a set S of a template's tokens has at most the norm of the template's weights in S as its
+    cosine, so of each template tokens are left out as long as theirs stay below `least`.
+    """
+    out = set()
+    for name in {n for n, _ in unit}:
+        mass = 0.0
+        for t, v in sorted(((t, v) for (n, t), v in unit.items() if n == name), key=lambda x: (x[0] not in COMMON, x[1], x[0])):
+            mass += v * v
+            if mass >= (least - 1e-5) ** 2:
+                out.add(t)
+    return sorted(out)
+
+
+def _holds(text: Column, words: list[str]) -> Column:
+    """Whether a lower-cased text may hold one of the tokens."""
+    return text.rlike("(?:^|[^a-z0-9])(?:" + "|".join(w.replace(".", r"\.") for w in words) + ")(?:[^a-z0-9]|$)")
+
+
 def _similar(units: DataFrame, keys: list[str]) -> DataFrame:
-    """The best template of each unit of text (keys, tokens): (keys, license, score); ties go to the first name."""
+    """The best template of each unit of text (keys, tokens): (keys, license, score); ties go to the first name.
+
+    Units are dealt by the first key, so that no step deals their tokens anew.
+    """
     spark: SparkSession = units.sparkSession
     idf, unit, other = weights()
-    vocabulary = spark.createDataFrame([(t, v) for t, v in idf.items()], "token string, idf double")
-    table = spark.createDataFrame([(a, t, v) for (a, t), v in unit.items()], "license string, token string, weight double")
+    names = sorted({n for n, _ in unit})
+    rows = [(t, v, *(unit.get((n, t), 0.0) for n in names)) for t, v in idf.items()]
+    table = spark.createDataFrame(rows, ", ".join(["token string", "idf double", *(f"w{k} double" for k in range(len(names)))]))
     tf = units.select(*keys, F.explode("tokens").alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
-    tf = tf.join(F.broadcast(vocabulary), "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    norm = tf.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = tf.where("idf is not null").join(F.broadcast(table), "token").groupBy(*keys, "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norm, keys).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
-    best = F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), "license"))
-    return scored.groupBy(*keys).agg(best.alias("best")).select(*keys, "best.license", "best.score")
+    tf = tf.join(F.broadcast(table), "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
+    sums = tf.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *(F.sum(F.col("w") * F.col(f"w{k}")).alias(f"d{k}") for k in range(len(names))))
+    score = lambda k: F.round(F.col(f"d{k}") / F.col("norm"), 6)
+    best = F.array_min(F.array(*(F.struct((-score(k)).alias("score"), F.lit(n).alias("license")) for k, n in enumerate(names))))
+    found = sums.where(F.coalesce(*(f"d{k}" for k in range(len(names)))).isNotNull()).select(*keys, best.alias("best"))
+    return found.select(*keys, "best.license", (-F.col("best.score")).alias("score"))
 
 
 def parents(directory: Column) -> Column:
@@ -83,7 +112,7 @@ def parents(directory: Column) -> Column:
 def scan(files: DataFrame) -> DataFrame:
     """files (path, text and others) with n_headers, license, score, is_license_file, effective_license, inherited_from.
 
-    A header is a line with a DISTINCTIVE word whose cosine to a template reaches HEADER_COSINE; the best one is the
+    A header is a line whose cosine to a template reaches HEADER_COSINE; the best one is the
     file's licence. A file whose whole text reaches FILE_COSINE is a licence file and speaks for its directory (best
     score, then first path). Files without a licence inherit from the nearest directory that has one. Null texts have
     no licence of their own; a null path has no directory and inherits nothing. Repeated rows keep their own rows.
@@ -91,12 +120,15 @@ def scan(files: DataFrame) -> DataFrame:
     ws = Workspace(files.sparkSession, "licenses")
     text = ascii_lower(F.col("text"))
     rows = files.withColumn("uid", F.monotonically_increasing_id()).withColumn("directory", F.regexp_extract("path", r"(?s)^(?:(.*)/)?[^/]*$", 1))
-    hits = ws.write(rows.where(text.rlike(HEADER)).select("uid", "path", "directory", "text"), "hits")
-    lines = hits.select("uid", F.posexplode(F.split("text", "\n", -1)).alias("line", "content")).where(ascii_lower(F.col("content")).rlike(HEADER))
+    unit = weights()[1]
+    in_line, in_file = needed(unit, HEADER_COSINE), needed(unit, FILE_COSINE)
+    hits = ws.write(rows.where(_holds(text, sorted({*in_line, *in_file}))).select("uid", "path", "directory", "text"), "hits")
+    dealt = hits.select("uid", "text").repartition("uid")
+    lines = dealt.select("uid", F.posexplode(F.split("text", "\n", -1)).alias("line", "content")).where(_holds(ascii_lower(F.col("content")), in_line))
     headers = _similar(lines.select("uid", "line", tokens(F.col("content")).alias("tokens")), ["uid", "line"]).where(F.col("score") >= HEADER_COSINE)
     best = F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), "line"))
     own = headers.groupBy("uid").agg(F.count(F.lit(1)).alias("n_headers"), best.alias("own"))
-    whole = _similar(hits.select("uid", tokens(F.col("text")).alias("tokens")), ["uid"]).where(F.col("score") >= FILE_COSINE)
+    whole = _similar(dealt.where(_holds(text, in_file)).select("uid", tokens(F.col("text")).alias("tokens")), ["uid"]).where(F.col("score") >= FILE_COSINE)
     whole = whole.select("uid", F.struct("license", "score").alias("file"))
     found = ws.write(hits.select("uid", "path", "directory").join(own, "uid", "left").join(whole, "uid", "left"), "found")
 

@@ -41,3 +41,21 @@ def test_headers_files_and_inheritance(spark):
 
 def test_empty(spark):
     assert L.scan(spark.createDataFrame([], "path string, text string")).collect() == []
+
+
+def test_lines_and_files_without_a_listed_word_are_scored(spark):
+    said = ["Redistribution and use in source and binary forms, with or without", "Redistribution and use in source and binary forms are permitted", "Dedicated to the public domain.", "This work is dedicated to the public domain."]
+    rows = [(f"d{k}/x{e}", text) for k, line in enumerate(said) for e, text in enumerate([line, f"{line}\n" + "pad " * 200])]
+    got = {r["path"]: r for r in L.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for k, line in enumerate(said):
+        for e in range(2):
+            r = got[f"d{k}/x{e}"]
+            assert (r["license"], r["score"], r["n_headers"], r["is_license_file"]) == (*cosine(line), 1, e == 0)
+
+
+def test_needed_words_pass_every_subset_at_the_limit():
+    _, unit, _ = L.weights()
+    for least in (L.HEADER_COSINE, L.FILE_COSINE):
+        words = set(L.needed(unit, least))
+        for name in L.TEMPLATES:
+            assert sum(v * v for (n, t), v in unit.items() if n == name and t not in words) < least**2
