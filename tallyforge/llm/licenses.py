@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,11 +32,31 @@ TEMPLATES = {
     "MPL-2.0": "This file is subject to the terms of the Mozilla Public License, version 2.0.",
     "Proprietary": "All rights reserved.",
 }
+_GNU = """This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} General Public License as published by
+the Free Software Foundation, either version {2} of the License, or (at your option) any later version. This {0} is distributed in the hope that it
+will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}
+General Public License for more details. You should have received a copy of the GNU {1} General Public License along with this {0}. If not, see
+<https://www.gnu.org/licenses/>."""
+#: Standard header blocks, scored against joined blocks of lines; whole texts are in licence_texts.
+BLOCKS = {
+    "AGPL-3.0": _GNU.format("program", "Affero", 3),
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may
+obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the
+License for the specific language governing permissions and limitations under the License.""",
+    "GPL-2.0": _GNU.format("program", "", 2),
+    "GPL-3.0": _GNU.format("program", "", 3),
+    "LGPL-3.0": _GNU.format("library", "Lesser", 3),
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+}
 #: Words that the SQL looks for.
 DISTINCTIVE = ("affero", "apache", "bsd", "cc", "cc0", "gnu", "licence", "license", "licensed", "mit", "mozilla", "reserved")
 HEADER_COSINE = 0.6
 FILE_COSINE = 0.5
 TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
+#: Successive lines of comment.
+COMMENT = r"(?m)(?:^[ \t]*(?:#|//|/?\*|--|;|%)[^\n]*(?:\n|$))+"
 HEADER = rf"(?:^|[^a-z0-9])(?:{'|'.join(DISTINCTIVE)})(?:[^a-z0-9]|$)"
 
 
@@ -43,19 +64,28 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def weights() -> tuple[dict[str, float], dict[tuple[str, str], float], float]:
-    """idf of the templates' tokens, unit TF-IDF weight of (template, token), and the idf of all other tokens."""
+def texts() -> dict[str, str]:
+    """Whole licence texts, and header blocks as `<license> header`."""
+    whole = {p.stem: p.read_text("utf-8") for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+    return whole | {f"{name} header": text for name, text in BLOCKS.items()}
+
+
+def weights(templates: dict[str, str] = TEMPLATES, least: float = 1.0) -> tuple[dict[str, float], dict[tuple[str, str], float], float]:
+    """idf of the templates' tokens, unit TF-IDF weight of (template, token), and the idf of all other tokens.
+
+    least is the idf of a token of all templates; 0 for whole texts, which common words would make alike.
+    """
     import re
 
-    counts = {name: Counter(re.findall(TOKEN, text.lower())) for name, text in TEMPLATES.items()}
+    counts = {name: Counter(re.findall(TOKEN, text.lower())) for name, text in templates.items()}
     n = len(counts)
     df = Counter(t for c in counts.values() for t in c)
-    idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()}
+    idf = {t: math.log((1 + n) / (1 + k)) + least for t, k in df.items()}
     unit = {}
     for name, c in counts.items():
         norm = math.sqrt(sum((k * idf[t]) ** 2 for t, k in c.items()))
         unit |= {(name, t): k * idf[t] / norm for t, k in c.items()}
-    return idf, unit, math.log(1 + n) + 1
+    return idf, unit, math.log(1 + n) + least
 
 
 #: Words that `needed` leaves out first.
@@ -83,13 +113,13 @@ def _holds(text: Column, words: list[str]) -> Column:
     return text.rlike("(?:^|[^a-z0-9])(?:" + "|".join(w.replace(".", r"\.") for w in words) + ")(?:[^a-z0-9]|$)")
 
 
-def _similar(units: DataFrame, keys: list[str]) -> DataFrame:
+def _similar(units: DataFrame, keys: list[str], templates: dict[str, str] = TEMPLATES, least: float = 1.0) -> DataFrame:
     """The best template of each unit of text (keys, tokens): (keys, license, score); ties go to the first name.
 
     Units are dealt by the first key, so that no step deals their tokens anew.
     """
     spark: SparkSession = units.sparkSession
-    idf, unit, other = weights()
+    idf, unit, other = weights(templates, least)
     names = sorted({n for n, _ in unit})
     rows = [(t, v, *(unit.get((n, t), 0.0) for n in names)) for t, v in idf.items()]
     table = spark.createDataFrame(rows, ", ".join(["token string", "idf double", *(f"w{k} double" for k in range(len(names)))]))
@@ -97,7 +127,7 @@ def _similar(units: DataFrame, keys: list[str]) -> DataFrame:
     tf = tf.join(F.broadcast(table), "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
     sums = tf.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *(F.sum(F.col("w") * F.col(f"w{k}")).alias(f"d{k}") for k in range(len(names))))
     score = lambda k: F.round(F.col(f"d{k}") / F.col("norm"), 6)
-    best = F.array_min(F.array(*(F.struct((-score(k)).alias("score"), F.lit(n).alias("license")) for k, n in enumerate(names))))
+    best = F.array_min(F.array(*(F.struct((-score(k)).alias("score"), F.lit(n.removesuffix(" header")).alias("license")) for k, n in enumerate(names))))
     found = sums.where(F.coalesce(*(f"d{k}" for k in range(len(names)))).isNotNull()).select(*keys, best.alias("best"))
     return found.select(*keys, "best.license", (-F.col("best.score")).alias("score"))
 
@@ -112,8 +142,9 @@ def parents(directory: Column) -> Column:
 def scan(files: DataFrame) -> DataFrame:
     """files (path, text and others) with n_headers, license, score, is_license_file, effective_license, inherited_from.
 
-    A header is a line whose cosine to a template reaches HEADER_COSINE; the best one is the
-    file's licence. A file whose whole text reaches FILE_COSINE is a licence file and speaks for its directory (best
+    A header is a line whose cosine to a template reaches HEADER_COSINE, or a block (lines of comment, or lines
+    between empty ones) whose cosine to a licence text does, where no line in the file is one; the best one is the
+    file's licence. A file whose whole text reaches FILE_COSINE to a template or to a licence text is a licence file and speaks for its directory (best
     score, then first path). Files without a licence inherit from the nearest directory that has one. Null texts have
     no licence of their own; a null path has no directory and inherits nothing. Repeated rows keep their own rows.
     """
@@ -122,7 +153,9 @@ def scan(files: DataFrame) -> DataFrame:
     rows = files.withColumn("uid", F.monotonically_increasing_id()).withColumn("directory", F.regexp_extract("path", r"(?s)^(?:(.*)/)?[^/]*$", 1))
     unit = weights()[1]
     in_line, in_file = needed(unit, HEADER_COSINE), needed(unit, FILE_COSINE)
-    hits = ws.write(rows.where(_holds(text, sorted({*in_line, *in_file}))).select("uid", "path", "directory", "text"), "hits")
+    long = texts()
+    in_long = set(needed(weights(long, 0.0)[1], FILE_COSINE))
+    hits = ws.write(rows.where(_holds(text, sorted({*in_line, *in_file, *in_long}))).select("uid", "path", "directory", "text"), "hits")
     dealt = hits.select("uid", "text").repartition("uid")
     lines = dealt.select("uid", F.posexplode(F.split("text", "\n", -1)).alias("line", "content")).where(_holds(ascii_lower(F.col("content")), in_line))
     headers = _similar(lines.select("uid", "line", tokens(F.col("content")).alias("tokens")), ["uid", "line"]).where(F.col("score") >= HEADER_COSINE)
@@ -130,7 +163,15 @@ def scan(files: DataFrame) -> DataFrame:
     own = headers.groupBy("uid").agg(F.count(F.lit(1)).alias("n_headers"), best.alias("own"))
     whole = _similar(dealt.where(_holds(text, in_file)).select("uid", tokens(F.col("text")).alias("tokens")), ["uid"]).where(F.col("score") >= FILE_COSINE)
     whole = whole.select("uid", F.struct("license", "score").alias("file"))
-    found = ws.write(hits.select("uid", "path", "directory").join(own, "uid", "left").join(whole, "uid", "left"), "found")
+    blocks = F.concat(F.regexp_extract_all("text", F.lit(COMMENT), F.lit(0)), F.split("text", r"\n[ \t\r]*\n"))
+    blocks = dealt.select("uid", F.posexplode(blocks).alias("line", "content")).where(_holds(ascii_lower(F.col("content")), sorted(in_long)))
+    blocks = _similar(blocks.select("uid", "line", tokens(F.col("content")).alias("tokens")), ["uid", "line"], long, 0.0).where(F.col("score") >= HEADER_COSINE)
+    blocks = blocks.groupBy("uid").agg(best.alias("block"))
+    entire = _similar(dealt.where(_holds(text, sorted(in_long))).select("uid", tokens(F.col("text")).alias("tokens")), ["uid"], long, 0.0).where(F.col("score") >= FILE_COSINE)
+    entire = entire.select("uid", F.struct("license", "score").alias("entire"))
+    found = hits.select("uid", "path", "directory").join(own, "uid", "left").join(whole, "uid", "left").join(blocks, "uid", "left").join(entire, "uid", "left")
+    count = F.coalesce("n_headers", F.when(F.col("block").isNotNull(), F.lit(1).cast("long")))
+    found = ws.write(found.select("uid", "path", "directory", count.alias("n_headers"), F.coalesce("own", "block").alias("own"), F.coalesce("file", "entire").alias("file")), "found")
 
     speaks = F.min_by(F.col("file.license"), F.struct(-F.col("file.score"), "path"))
     licensed = found.where("file is not null and directory is not null").groupBy("directory").agg(speaks.alias("dir_license"))

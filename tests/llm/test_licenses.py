@@ -59,3 +59,19 @@ def test_needed_words_pass_every_subset_at_the_limit():
         words = set(L.needed(unit, least))
         for name in L.TEMPLATES:
             assert sum(v * v for (n, t), v in unit.items() if n == name and t not in words) < least**2
+
+
+def test_licence_texts_and_header_blocks(spark):
+    texts, body = L.texts(), " ".join(f"word{k}" for k in range(80))
+    rows = [(f"{name}/LICENSE", text) for name, text in texts.items() if "header" not in name]
+    rows += [(f"{name}/x.txt", body) for name in texts if "header" not in name]
+    notice = "\n".join(f"# {line}" for line in L.BLOCKS["GPL-3.0"].split("\n"))
+    rows += [("gpl/a.py", f"# Copyright 2020 Foo Inc.\n#\n{notice}\n\nimport os\n{body}\n")]
+    rows += [("apache/b.c", "/*\n" + "\n".join(f" * {line}" for line in L.BLOCKS["Apache-2.0"].split("\n")) + f"\n */\n{body}\n{body}")]
+    rows += [("prose/c.txt", "the of and to in a is that it was for on as with his they at be this from " * 300)]
+    rows += [("prose/d.txt", "The the of.")]
+    got = {r["path"]: r for r in L.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for name in (n for n in texts if "header" not in n):
+        assert got[f"{name}/LICENSE"]["is_license_file"] and got[f"{name}/LICENSE"]["license"] == name
+        assert (got[f"{name}/x.txt"]["effective_license"], got[f"{name}/x.txt"]["inherited_from"]) == (name, name)
+    assert (got["gpl/a.py"]["license"], got["apache/b.c"]["license"], got["prose/c.txt"]["license"]) == ("GPL-3.0", "Apache-2.0", None)
