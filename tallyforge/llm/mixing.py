@@ -5,9 +5,10 @@ Every output shard draws how many blocks it takes of each source; the draws of a
 through pseudorandom permutations of its block numbers (a new one each time the source is used up), and the blocks are
 joined by number.
 
-The draw is a stratified multinomial: a shard's slots are spread over the sources in proportion to their targets with
-one random point in each slot's stratum, so each count is its expectation rounded up or down, without bias. Independent
-draws would miss the target of a source of n blocks by about sqrt(n) blocks.
+The draw: each source's target, rounded to blocks, is its number of slots; all slots of all sources are numbered, and a
+pseudorandom permutation of the numbers deals them to the shards. So a shard's source counts are a multinomial draw,
+conditioned on the sources' totals (a multivariate hypergeometric one): they scatter from shard to shard, and their sums
+over all shards meet the targets. Independent draws would miss the target of a source of n blocks by about sqrt(n) blocks.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ EPOCHS = 2
 #: Words of a block, blocks of an output shard (more where there are very many sources), documents of a prefix bucket.
 BLOCK = 32
 SHARD_BLOCKS = 32_768
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 SEED = 60_013
 #: Offsets of up to so many documents (some 60 MB) are broadcast to their texts; with more, texts are shuffled by document.
 BROADCAST_ROWS = 1_000_000
@@ -85,15 +86,13 @@ def permuted(index: Column, size: Column, key: Column) -> Column:
     return F.when(first < size, first).otherwise(walk)
 
 
-def plan(ws: Workspace, docs: DataFrame, size: Column, source: Column, order: Column, carry: list[Column], block: int = BLOCK, seed: int = SEED) -> Mix:
+def plan(ws: Workspace, docs: DataFrame, size: Column, source: Column, order: Column, carry: list[Column], block: int = BLOCK, seed: int = SEED, shard_blocks: int = SHARD_BLOCKS) -> Mix:
     """Targets, stream offsets and draws. order: a pseudorandom long for each row, the same in every run."""
     slim = docs.select(size.cast("long").alias("size"), source.cast("string").alias("source"), F.xxhash64(order, F.lit(seed)).alias("order"), *carry)
     slim = ws.write(slim.withColumn("uid", F.monotonically_increasing_id()), "sized")  # written, so uids stay
     found = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     sources = ws.write(targets(found.select("source", "source_size")), "sources")
-    total = sources.agg(F.count(F.lit(1)), F.sum("target")).first()
-    rows = slim.count()
-    n_sources, n_slots = total[0], round((total[1] or 0.0) / block)
+    n_sources, rows = sources.count(), slim.count()
 
     # Offsets by two levels of prefix sums, so that no source is summed in one task.
     buckets = max(1, -(-rows // BUCKET_ROWS))
@@ -107,37 +106,30 @@ def plan(ws: Workspace, docs: DataFrame, size: Column, source: Column, order: Co
     small = F.broadcast(placed) if rows <= BROADCAST_ROWS else placed
     placed = slim.drop("source", "size", "order").join(small, "uid")  # what is carried, texts perhaps, is not shuffled for the offsets
 
-    # Counts by shard and source: floor of the cumulative expectation plus whether the stratum's point lies below it.
-    per_shard = max(SHARD_BLOCKS, 16 * n_sources)
-    shards = max(1, -(-n_slots // per_shard))
-    slots = F.least(F.lit(per_shard), F.lit(n_slots) - F.col("shard") * per_shard).cast("double")
-    share = F.col("target") / F.greatest(F.sum("target").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(1.0))
-    shares = sources.select("sid", "source_size", share.alias("share"))
-    shares = shares.withColumn("upto", F.sum("share").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))).withColumn("last", F.col("sid") == n_sources - 1)
-    shares = shares.withColumn("from", F.coalesce(F.lag("upto").over(Window.orderBy("sid")), F.lit(0.0)))
-    counts = shares.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-
-    def points_below(x: Column) -> Column:
-        stratum = F.floor(x)
-        point = F.pmod(F.xxhash64("shard", stratum, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-        return stratum + (point < x - stratum).cast("long")
-
-    upper = F.when(F.col("last"), slots.cast("long")).otherwise(points_below(F.col("upto") * slots))
-    lower = points_below(F.col("from") * slots)
-    counts = counts.withColumn("n", F.greatest(upper - F.when(F.col("sid") == 0, F.lit(0).cast("long")).otherwise(lower), F.lit(0).cast("long")))
-    base = F.sum("n").over(Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.withColumn("base", F.coalesce(base, F.lit(0).cast("long"))).withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
-    # A draw beyond EPOCHS rounds would use words too often; rounding up alone leads there, and the slot stays empty.
-    counts = counts.withColumn("n", F.least(F.col("n"), EPOCHS * F.col("blocks") - F.col("base"))).where("n > 0")
-    # Long runs of draws are cut before they are expanded, and dealt out: a source or shard may hold a third of them.
-    pieces = F.expr("transform(sequence(0L, (n - 1) div 1024), p -> struct(base + p * 1024 AS lo, least(base + n, base + (p + 1) * 1024) - 1 AS hi))")
-    draws = counts.select("shard", "sid", "blocks", F.explode(pieces).alias("p")).repartition(F.xxhash64("sid", "p.lo"))
-    draws = draws.select("shard", "sid", "blocks", F.explode(F.sequence("p.lo", "p.hi")).alias("draw"))
+    # Slots of each source, by rounding the running total, so that their sum is right; a source is never used more than
+    # EPOCHS times, which rounding up alone could lead to.
+    per_shard = max(shard_blocks, 16 * n_sources)
+    upto = F.round(F.sum("target").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)) / block).cast("long")
+    slots = sources.select("sid", F.ceil(F.col("source_size") / block).cast("long").alias("blocks"), upto.alias("upto"))
+    slots = slots.withColumn("n", F.least(F.col("upto") - F.coalesce(F.lag("upto").over(Window.orderBy("sid")), F.lit(0).cast("long")), EPOCHS * F.col("blocks")))
+    slots = slots.withColumn("base", F.sum("n").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    slots = slots.withColumn("all", F.sum("n").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("n > 0")
+    # Long runs of draws are cut before they are expanded, and dealt out: a source may hold a third of them.
+    pieces = F.expr("transform(sequence(0L, (n - 1) div 1024), p -> struct(p * 1024 AS lo, least(n, (p + 1) * 1024) - 1 AS hi))")
+    draws = slots.select("sid", "blocks", "base", "all", F.explode(pieces).alias("p")).repartition(F.xxhash64("sid", "p.lo"))
+    draws = draws.select("sid", "blocks", "base", "all", F.explode(F.sequence("p.lo", "p.hi")).alias("draw"))
+    place = permuted(F.col("base") + F.col("draw"), F.col("all"), F.xxhash64(F.lit("slots"), F.lit(seed)))
+    draws = draws.withColumn("shard", F.floor(place / per_shard).cast("long"))
     epoch = F.floor(F.col("draw") / F.col("blocks")).cast("long")
     number = permuted(F.col("draw") % F.col("blocks"), F.col("blocks"), F.xxhash64("sid", epoch, F.lit(seed)))
     return Mix(sources, placed, draws.select("shard", "sid", "draw", number.alias("block")), block)
 
 
+def counts(mix: Mix) -> DataFrame:
+    """(shard, sid, n): the source counts that were drawn for each output shard."""
+    return mix.draws.groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _fragments(mix: Mix) -> DataFrame:
     """docs cut at the block limits: block, and first and last + 1 word within the document."""
     docs = mix.docs.where("size > 0")
@@ -170,7 +162,7 @@ def mixed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """The mix itself, in documents: one row for each stretch of a document in a drawn block, with docs' columns.
 
     Texts are cut between words, white space stays with the word before it. Documents without words have nothing
@@ -179,7 +171,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ws = Workspace(docs.sparkSession, "mixing")
     text = F.col(text_col).cast("string")
     carry = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")]
-    mix = plan(ws, docs, F.size(words_of(text)), F.col(source_col), F.xxhash64(F.col(id_col), text), carry, block)
+    mix = plan(ws, docs, F.size(words_of(text)), F.col(source_col), F.xxhash64(F.col(id_col), text), carry, block, shard_blocks=shard_blocks)
     tokens = F.split(F.col("_row")[text_col].cast("string"), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])", -1)
     lead = F.when(F.col("_row")[text_col].rlike(r"\A[\x20\x09-\x0D]"), 1).otherwise(0)
     parts = mix.docs.where("size > 0").withColumn("_tokens", tokens).withColumn("_lead", lead)

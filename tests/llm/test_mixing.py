@@ -5,6 +5,7 @@ from brute import words
 from pyspark.sql import functions as F
 
 from tallyforge.llm import mixing
+from tallyforge.llm.shared import Workspace, words_of
 
 
 def fill(sizes):
@@ -82,5 +83,53 @@ def test_documents_hold_the_drawn_words(spark):
     assert got == {i: n for i, n in per_doc.items() if n}
 
 
+def drawn(spark, tmp_path, rows, shard_blocks):
+    df = spark.createDataFrame(rows, SCHEMA)
+    ws = Workspace(spark, "mixtest")
+    return mixing.plan(ws, df, F.size(words_of(F.col("text"))), F.col("source"), F.xxhash64("doc_id", "text"), [F.col("doc_id").alias("doc_id")], shard_blocks=shard_blocks)
+
+
+def test_counts_of_many_shards_are_a_draw_and_meet_the_totals(spark, tmp_path):
+    rows = corpus()
+    mix = drawn(spark, tmp_path, rows, 64)
+    per_shard = max(64, 16 * mix.sources.count())
+    sources = {r["sid"]: r for r in mix.sources.collect()}
+    counts = {(r["shard"], r["sid"]): r["n"] for r in mixing.counts(mix).collect()}
+    shards = sorted({k for k, _ in counts})
+    assert len(shards) > 20 and shards == list(range(len(shards)))
+    totals = {s: sum(n for (_, x), n in counts.items() if x == s) for s in sources}
+    for s, r in sources.items():
+        assert abs(totals[s] - r["target"] / mixing.BLOCK) <= 1.01
+    everything = sum(totals.values())
+    for k in shards[:-1]:
+        assert sum(n for (x, _), n in counts.items() if x == k) == per_shard
+    # Mean and variance of each source's counts against the multivariate hypergeometric law.
+    for s in sources:
+        p = totals[s] / everything
+        if totals[s] < 200:
+            continue
+        found = [counts.get((k, s), 0) for k in shards[:-1]]
+        mean = sum(found) / len(found)
+        law = per_shard * p * (1 - p) * (everything - per_shard) / (everything - 1)
+        variance = sum((x - per_shard * p) ** 2 for x in found) / len(found)
+        assert abs(mean - per_shard * p) < 4 * (law / len(found)) ** 0.5 + 1 and 0.4 * law < variance < 2.2 * law
+    # Brute force: the drawn blocks are 0 .. blocks - 1 again and again, each round a permutation.
+    draws = mix.draws.collect()
+    for s, r in sources.items():
+        blocks = -(-r["source_size"] // mixing.BLOCK)
+        mine = sorted((d["draw"], d["block"]) for d in draws if d["sid"] == s)
+        assert [d for d, _ in mine] == list(range(len(mine))) and len(mine) <= 2 * blocks
+        for a in range(0, len(mine), max(blocks, 1)):
+            part = [b for _, b in mine[a : a + blocks]]
+            assert len(set(part)) == len(part) and all(0 <= b < blocks for b in part)
+
+
+def test_offsets_without_a_broadcast_are_the_same(spark, monkeypatch):
+    df = spark.createDataFrame(corpus(), SCHEMA)
+    usual = sorted(map(repr, mixing.mixed_words(df).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert sorted(map(repr, mixing.mixed_words(df).collect())) == usual
+
+
 def test_empty(spark):
     assert mixing.mixed_words(spark.createDataFrame([], SCHEMA)).collect() == []
