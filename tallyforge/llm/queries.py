@@ -38,9 +38,10 @@ def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page is labelled bad if the document of its number is labelled toxic or of low quality."""
+    """A page is labelled bad if the label of its number is toxic or of low quality, or if its host says abuse."""
+    pages = table(spark, sf_dir, "pages")
     bad = table(spark, sf_dir, "labels").selectExpr("doc_id AS page_id", "toxic = 1 OR quality = 0 AS bad")
-    return urlrules.judge(table(spark, sf_dir, "pages"), bad, URL_RULES)
+    return urlrules.judge(pages, urlrules.page_labels(pages, bad), URL_RULES)
 
 
 def op6_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
