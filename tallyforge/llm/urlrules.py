@@ -23,7 +23,7 @@ BAD = "label bad"
 #: lets all combinations tested together give a false one with FALSE_RULES.
 MIN_SUPPORT = 0.0005
 MIN_PAGES = 4
-MIN_CONFIDENCE = 0.6
+MIN_CONFIDENCE = 0.9
 MIN_LIFT = 1.5
 FALSE_RULES = 0.05
 #: Up to this many mined rules are broadcast; with more Spark chooses the join.

@@ -89,7 +89,7 @@ def test_mining_and_matching_match_brute_force(spark):
         tokens = [t for t in "abcdefg" if rng.random() < 0.4] + ["all"]
         if "a" in tokens:
             tokens += ["twin of a"]
-        bad = ("a" in tokens and "b" in tokens and rng.random() < 0.9) or ("c" in tokens and rng.random() < 0.75) or rng.random() < 0.15
+        bad = ("a" in tokens and "b" in tokens and rng.random() < 0.98) or ("c" in tokens and "d" in tokens and rng.random() < 0.98) or rng.random() < 0.1
         rows.append((tokens, bad))
     df = spark.createDataFrame([(k, t, b) for k, (t, b) in enumerate(rows)], "uid long, tokens array<string>, bad boolean")
     rules = U.mine(df).collect()
