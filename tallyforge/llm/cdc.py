@@ -43,7 +43,22 @@ class Chunker:
             self.pair = K.stream(self.seed + 2, 2) | np.uint64(1)
 
     def cuts(self, data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Places before which a chunk ends, apart from the rows' own ends; none hangs on a neighbouring row."""
+        """Places before which a chunk ends, apart from the rows' own ends; none hangs on a neighbouring row.
+
+        Worked on in ranges, each with the bytes around it on which its cuts hang."""
+        n, r = len(data), self.reach
+        found = [np.zeros(0, np.int64)]
+        for lo in range(0, n, K.SLICE):
+            a = max(0, lo - r - (1 << GEAR_STEPS))
+            peak = self._peaks(data[a : lo + K.SLICE + r + 1]) + a
+            found.append(peak[(peak >= lo) & (peak < lo + K.SLICE)])
+        peak = np.concatenate(found)
+        row = np.searchsorted(first, peak, side="right") - 1
+        sure = (peak - first[row] >= r + (1 << GEAR_STEPS)) & (peak + r < last[row])
+        return peak[sure] + 1
+
+    def _peaks(self, data: np.ndarray) -> np.ndarray:
+        """Places whose gear hash is the largest within reach on either side."""
         n, r = len(data), self.reach
         gear = self.gear[data]
         for k in range(GEAR_STEPS):
@@ -61,16 +76,13 @@ class Chunker:
             top = np.maximum(top[: len(top) - (r - width)], top[r - width :])
         # top[i]: the largest of gear[i : i + r]
         at = np.arange(r, n - r)
-        peak = at[(gear[r : n - r] > top[: n - 2 * r]) & (gear[r : n - r] >= top[r + 1 : n - r + 1])]
-        row = np.searchsorted(first, peak, side="right") - 1
-        sure = (peak - first[row] >= r + (1 << GEAR_STEPS)) & (peak + r < last[row])
-        return peak[sure] + 1
+        return at[(gear[r : n - r] > top[: n - 2 * r]) & (gear[r : n - r] >= top[r + 1 : n - r + 1])]
 
     def chunk(self, column):
         """Yields (first row, next row, digests, ends, offsets): per row the pair digests and the chunk ends in bytes."""
         self._ready()
         data, begin, end = K.utf8(column)
-        for i, j in K.slices(begin, end, 1 << 20):
+        for i, j in K.slices(begin, end, K.SLICE):
             base, stop = int(begin[i]), int(end[i:j].max())
             local = data[base:stop]
             first, last = begin[i:j] - base, end[i:j] - base
@@ -215,7 +227,7 @@ def _compared(rows: DataFrame) -> DataFrame:
         hashes = K.Spans(SEED + 3)
         for batch in batches:
             data, begin, end = K.utf8(batch.column(3))
-            for i, j in K.slices(begin, end, 1 << 20):
+            for i, j in K.slices(begin, end, K.SLICE):
                 base = int(begin[i])
                 made = piece(batch, i, j, data[base : int(end[i:j].max())], begin[i:j] - base, end[i:j] - base, hashes)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(3)), *made], names=["uid", "id", "key", "n_bytes", "n_chunks", "spans", "first_ids", "held", "asked"])
@@ -275,7 +287,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     compared = _write(ws, _compared(table.join(marks, "uid", "left")), "compared")
     ws.drop(table, marks)
 
-    holders = compared.select("key", F.explode("held").alias("hash")).groupBy("hash").agg(F.min("key").alias("id"))
+    # Written, so that the windows of a very common passage are a skewed join that Spark can split.
+    holders = _write(ws, compared.select("key", F.explode("held").alias("hash")).groupBy("hash").agg(F.min("key").alias("id")), "holders")
     asked = compared.select("uid", "key", F.inline("asked")).join(holders, "hash").where("id < key")
     found = asked.groupBy("uid").agg(F.collect_list(F.struct("first", "last", "id")).alias("found"))
     plain = compared.drop("held", "asked")

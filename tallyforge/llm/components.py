@@ -20,14 +20,15 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # Both joins read written tables, so that Spark can split the links of a hub (a skewed join) over tasks.
+        least = ws.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = ws.write(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = ws.write(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         moved = large.join(low, "u")
         small = moved.select("u", F.col("m").alias("v")).unionByName(moved.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         after = ws.write(small, "graph")
         mark = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        ws.drop(now)
+        ws.drop(now, least, large, low)
         now = after
         if tuple(mark) == before:
             break

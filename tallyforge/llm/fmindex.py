@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh
+from .shared import bound_batches, fresh
 
 #: A phrase is this many consecutive words of a test item.
 WINDOW = 10
@@ -295,6 +295,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     An empty benchmark hits nothing. If docs has columns of these names, the new ones take underscores in front.
     """
     sc = docs.sparkSession.sparkContext
+    bound_batches(docs.sparkSession)
     names = fresh(docs, "n_words", "spans", "items")
     out = docs
     plain = [f for f in docs.schema.fields]

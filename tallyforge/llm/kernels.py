@@ -36,6 +36,27 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, begin, end
 
 
+#: Bytes that are worked on at a time, and rows beyond which a text is cut between words for that.
+SLICE = 1 << 18
+
+
+def pieces(data: np.ndarray, begin: int, end: int, most: int = SLICE):
+    """Cuts a text [begin, end) behind white space into ranges of about `most` bytes (a longer word stays whole)."""
+    space = ~space_table()
+    while end - begin > most:
+        found = np.flatnonzero(space[data[begin + most // 2 : begin + most]])
+        if len(found):
+            cut = begin + most // 2 + int(found[-1]) + 1
+        else:
+            cut = begin + most
+            while cut < end and not len(found := np.flatnonzero(space[data[cut : cut + most]])):
+                cut += most
+            cut = cut + int(found[0]) + 1 if cut < end else end
+        yield begin, cut
+        begin = cut
+    yield begin, end
+
+
 def slices(begin: np.ndarray, end: np.ndarray, most: int):
     """Row ranges [i, j) whose bytes come to about `most`, at least one row each."""
     i, n = 0, len(begin)
@@ -61,27 +82,49 @@ def runs(inside: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Spans:
-    """64-bit hashes of byte spans: sums of random byte values times powers of an odd base, scrambled."""
+    """64-bit hashes of byte spans: sums of random byte values times powers of an odd base, scrambled.
+
+    Spans are hashed window by window: memory hangs on WINDOW, however long the data or one span is.
+    """
 
     BASE = 0x9E3779B97F4A7C15 | 1
+    WINDOW = 1 << 16
 
     def __init__(self, seed: int):
         self.values = stream(seed, 256)
-        self._grow(1 << 16)
-
-    def _grow(self, n: int) -> None:
         base, back = _U(self.BASE), _U(pow(self.BASE, -1, 1 << 64))
         with np.errstate(over="ignore"):
-            self.powers = np.concatenate([np.ones(1, _U), np.cumprod(np.full(n, base))])
-            self.inverse = np.concatenate([np.ones(1, _U), np.cumprod(np.full(n, back))])
+            self.powers = np.concatenate([np.ones(1, _U), np.cumprod(np.full(self.WINDOW, base))])
+            self.inverse = np.concatenate([np.ones(1, _U), np.cumprod(np.full(self.WINDOW, back))])
+
+    def _sums(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of spans in data (one window at most): each byte's value times the power of its place in the span."""
+        sums = np.zeros(len(data) + 1, _U)
+        np.cumsum(self.values[data] * self.powers[: len(data)], out=sums[1:])
+        return (sums[end] - sums[begin]) * self.inverse[begin]
 
     def __call__(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        if len(data) >= len(self.powers):
-            self._grow(len(data) * 2)
+        """begin ascends."""
+        out = np.zeros(len(begin), _U)
         with np.errstate(over="ignore"):
-            sums = np.zeros(len(data) + 1, _U)
-            np.cumsum(self.values[data] * self.powers[: len(data)], out=sums[1:])
-            return mix((sums[end] - sums[begin]) * self.inverse[begin] + (end - begin).astype(_U))
+            at = 0
+            while at < len(begin):
+                lo = int(begin[at])
+                to = at + max(1, int(np.searchsorted(begin[at:], lo + self.WINDOW)))
+                inside = np.flatnonzero(end[at:to] <= lo + self.WINDOW) + at
+                out[inside] = self._sums(data[lo : lo + self.WINDOW], begin[inside] - lo, end[inside] - lo)
+                for k in np.flatnonzero(end[at:to] > lo + self.WINDOW) + at:
+                    out[k] = self._long(data, int(begin[k]), int(end[k]))
+                at = to
+            return mix(out + (end - begin).astype(_U))
+
+    def _long(self, data: np.ndarray, begin: int, end: int) -> np.uint64:
+        total, power = 0, 1
+        for lo in range(begin, end, self.WINDOW):
+            hi = min(end, lo + self.WINDOW)
+            total += power * int((self.values[data[lo:hi]] * self.powers[: hi - lo]).sum(dtype=_U))
+            power = power * pow(self.BASE, hi - lo, 1 << 64) % (1 << 64)
+        return _U(total % (1 << 64))
 
 
 def lower_table() -> np.ndarray:

@@ -7,7 +7,8 @@ used is confirmed on the two whole shingle sets.
 Sets, not rows, are the nodes: rows with the same set (exact copies above all) fold into one node before anything is
 paired. A bucket is never expanded into all its pairs: each member first meets the bucket's smallest node, the links
 are contracted into components, and only members of buckets that still hold several components meet each other, in
-blocks that give back no more links than join their components. Nothing is capped.
+blocks that give back no more links than join their components. There the members of a bucket's largest component are
+not repeated, and only pairs of different components are looked at. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from . import kernels as K
 from .components import components
 from .shared import Workspace
 
-#: Members of one block of a bucket in the second round; a task holds two blocks at a time.
+#: Members of one block of a bucket in the second round, and shingles of them all (8 bytes each), about.
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
 #: Up to this many ids (8 MB) are broadcast to pick the texts of candidates; with more, texts are shuffled by id.
 BROADCAST_IDS = 1_000_000
 #: Standard deviations that a sketch may be off before its pair is left out: about one in 10^6.
@@ -69,22 +71,40 @@ class Plan:
         return math.ceil(self.values * p + SIGMAS * math.sqrt(self.values * p * (1 - p)))
 
 
-def _shingles(data, begin, end, spans, weights, size):
-    """Per row of the slice the sorted distinct shingle hashes, as one array and its offsets."""
+def _words(data, begin, end, spans):
+    """Word hashes of the rows, and where each row's words begin and end among them. A long row goes piece by piece."""
+    if len(begin) == 1 and end[0] - begin[0] > K.SLICE:
+        found = [_words(data, np.array([a]), np.array([b]), spans)[0] if b - a <= K.SLICE else _slice_words(data, np.array([a]), np.array([b]), spans)[0] for a, b in K.pieces(data, int(begin[0]), int(end[0]))]
+        words = np.concatenate(found)
+        return words, np.zeros(1, np.int64), np.array([len(words)])
+    return _slice_words(data, begin, end, spans)
+
+
+def _slice_words(data, begin, end, spans):
     base = int(begin[0]) if len(begin) else 0
     local = K.lower_table()[data[base : int(end.max(initial=base))]]
     first, last = begin - base, end - base
     wb, we = K.runs(K.space_table()[local], first)
-    words = spans(local, wb, we)
-    row_at = np.searchsorted(wb, first)
-    row_to = np.searchsorted(wb, last)
-    n_words = row_to - row_at
-    with np.errstate(over="ignore"):
-        n = max(0, len(words) - size + 1)
-        grams = np.zeros(n, np.uint64)
+    return spans(local, wb, we), np.searchsorted(wb, first), np.searchsorted(wb, last)
+
+
+def _grams(words, weights, size):
+    """Hashes of all runs of `size` words, worked on in parts."""
+    out = np.zeros(max(0, len(words) - size + 1), np.uint64)
+    for a in range(0, len(out), K.SLICE):
+        b = min(len(out), a + K.SLICE)
+        part = np.zeros(b - a, np.uint64)
         for k in range(size):
-            grams += words[k : k + n] * weights[k]
-        grams = K.mix(grams)
+            part += words[a + k : b + k] * weights[k]
+        out[a:b] = K.mix(part)
+    return out
+
+
+def _shingles(data, begin, end, spans, weights, size):
+    """Per row of the slice its sorted distinct shingle hashes."""
+    words, row_at, row_to = _words(data, begin, end, spans)
+    with np.errstate(over="ignore"):
+        grams = _grams(words, weights, size)
         sets = []
         for a, b in zip(row_at.tolist(), row_to.tolist(), strict=True):
             if b - a >= size:
@@ -124,7 +144,7 @@ class Signer:
         """Yields (first row, shingle sets) over slices of the column."""
         self._ready()
         data, begin, end = K.utf8(column)
-        for i, j in K.slices(begin, end, 1 << 20):
+        for i, j in K.slices(begin, end, K.SLICE):
             yield i, _shingles(data, begin[i:j], end[i:j], self.spans, self.weights, self.plan.shingle)
 
     def signatures(self, sets: list[np.ndarray]) -> np.ndarray:
@@ -228,24 +248,25 @@ def _near_enough(plan: Plan, a: str, b: str):
 class _Sets:
     """Shingle sets of packed texts, held up to a number of bytes."""
 
-    def __init__(self, signer: Signer, most: int = 64 << 20):
+    def __init__(self, signer: Signer, most: int = 24 << 20):
         self.signer, self.most = signer, most
         self.held: dict[bytes, np.ndarray] = {}
         self.size = 0
 
-    def of(self, packed: bytes) -> np.ndarray:
-        if (found := self.held.get(packed)) is None:
-            plain = pa.array([zlib.decompress(packed)], pa.binary())
+    def of(self, node: bytes, packed) -> np.ndarray:
+        """packed: the text as an Arrow scalar, unpacked only if the set is not held."""
+        if (found := self.held.get(node)) is None:
+            plain = pa.array([zlib.decompress(packed.as_py())], pa.binary())
             found = next(self.signer.sets(plain))[1][0]
             if self.size + found.nbytes > self.most:
                 self.held.clear()
                 self.size = 0
-            self.held[packed] = found
+            self.held[node] = found
             self.size += found.nbytes
         return found
 
-    def linked(self, a: bytes, b: bytes) -> bool:
-        x, y = self.of(a), self.of(b)
+    def linked(self, a: bytes, pa_: pa.Scalar, b: bytes, pb: pa.Scalar) -> bool:
+        x, y = self.of(a, pa_), self.of(b, pb)
         both = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * both >= self.signer.plan.percent * (len(x) + len(y) - both)
 
@@ -259,39 +280,41 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     def confirm(batches):
         sets = _Sets(signer)
         for batch in batches:
-            keep = [sets.linked(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            a, b, x, y = batch.columns
+            keep = [sets.linked(a[k].as_py(), x[k], b[k].as_py(), y[k]) for k in range(len(batch))]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(confirm, "a binary, b binary")
 
 
-def _block_links(rows: list, plan: Plan, sets: _Sets) -> list[tuple[bytes, bytes]]:
+def _block_links(rows: pa.Table, plan: Plan, sets: _Sets) -> list[tuple[bytes, bytes]]:
     """Links that join the components of one block of a bucket, each confirmed; at most one fewer than its rows.
 
-    rows: (low, high, own, node, component, n, bands, sketch, packed, band). A pair is looked at in the bucket of the
-    first band that it shares, unless it is joined already.
+    rows: own (whether the row's own block is this one), rank (its block), minor, node, component, n, bands, sketch,
+    packed, band. Minor rows stand in every block and are compared with its own rows, two minor ones in the later of
+    their two blocks. A pair is looked at in the bucket of the first band that it shares, unless it is joined already.
     """
-    band = rows[0][9]
-    own = np.array([r[2] for r in rows])
-    n = np.array([r[5] for r in rows], np.int64)
-    bands = np.array([r[6] for r in rows], np.int64)
-    sketch = np.array([r[7] for r in rows], np.int64).view(np.uint64)
-    _, root = np.unique(np.array([r[4].hex() for r in rows]), return_inverse=True)
-    within, low = rows[0][0] == rows[0][1], rows[0][0]
+    own, rank, minor = (np.asarray(rows.column(k)) for k in ("own", "rank", "minor"))
+    n, band = np.asarray(rows.column("n")), rows.column("band")[0].as_py()
+    bands = np.asarray(rows.column("bands").combine_chunks().flatten()).reshape(len(n), -1)[:, :band]
+    sketch = np.asarray(rows.column("sketch").combine_chunks().flatten()).reshape(len(n), -1).view(np.uint64)
+    node, packed = rows.column("node").to_pylist(), rows.column("packed")
+    _, root = np.unique(np.array([x.hex() for x in rows.column("component").to_pylist()]), return_inverse=True)
+    number = np.arange(len(n))
+    here = rank[own][0] if own.any() else -1
     lanes = np.uint64(0x5555555555555555)
     out = []
-    for i in range(len(rows)):
-        if not within and own[i] != low:
-            continue
-        other = (root != root[i]) & (np.arange(len(rows)) > i if within else own != low)
+    for i in np.flatnonzero(minor).tolist():
+        # with own rows that are major, or minor of an earlier (or the same) block and not yet met
+        other = own & (root != root[i]) & (~minor | (rank[i] < here) | ((rank[i] == here) & (number > i)))
         other &= 100 * np.minimum(n, n[i]) >= plan.percent * np.maximum(n, n[i])
         at = np.flatnonzero(other)
-        at = at[~(bands[at, :band] == bands[i, :band]).any(axis=1)]
+        at = at[~(bands[at] == bands[i]).any(axis=1)]
         x = sketch[at] ^ sketch[i]
         apart = np.bitwise_count((x | (x >> np.uint64(1))) & lanes).sum(axis=1)
         for j in at[np.argsort(apart, kind="stable")][: int((apart <= plan.most_apart).sum())].tolist():
-            if root[j] != root[i] and sets.linked(rows[i][8], rows[j][8]):
-                out.append((rows[i][3], rows[j][3]))
+            if root[j] != root[i] and sets.linked(node[i], packed[i], node[j], packed[j]):
+                out.append((node[i], node[j]))
                 root[root == root[j]] = root[i]
     return out
 
@@ -299,27 +322,30 @@ def _block_links(rows: list, plan: Plan, sets: _Sets) -> list[tuple[bytes, bytes
 def _joined(members: DataFrame, plan: Plan) -> DataFrame:
     """Links (a, b) between the components of each block of members."""
     signer = Signer(plan)
-    names = ["low", "high", "own", "node", "component", "n", "bands", "sketch", "packed", "band"]
+    names = ["own", "rank", "minor", "node", "component", "n", "bands", "sketch", "packed", "band"]
+
+    def links(held, sets):
+        found = _block_links(pa.Table.from_batches(held), plan, sets)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     def join(batches):
         sets, held, key = _Sets(signer), [], None
         for batch in batches:
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            columns = [batch.column(k).to_pylist() for k in range(1, 11)]
-            found = []
-            for now, row in zip(keys, zip(*columns, strict=True), strict=True):
-                if now != key and held:
-                    found += _block_links(held, plan, sets)
-                    held = []
-                key = now
-                held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+            keys, blocks = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
+                if b > a:
+                    now = (keys[a], blocks[a])
+                    if held and now != key:
+                        yield links(held, sets)
+                        held = []
+                    key = now
+                    held.append(batch.slice(a, b - a).select(names))
         if held:
-            found = _block_links(held, plan, sets)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+            yield links(held, sets)
 
-    grouped = members.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return grouped.select("key", *names).mapInArrow(join, "a binary, b binary")
+    grouped = members.repartition("key", "block").sortWithinPartitions("key", "block", "own", "node")
+    return grouped.select("key", "block", *names).mapInArrow(join, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, plan: Plan | None = None, id_col: str = "doc_id", text_col: str = "text", ws: Workspace | None = None) -> DataFrame:
@@ -341,7 +367,7 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None, id_col: str = "do
         sig.where("node is not null").groupBy("node").agg(F.min("id").alias("smallest"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
         "nodes",
     )
-    members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    members = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("pivot")).where("m > 1")
     buckets = ws.write(members.join(shared, "key"), "buckets")
     near = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "smallest", "n", "bands", "sketch")
@@ -365,14 +391,18 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None, id_col: str = "do
     edges = ws.write(_confirmed(first, texts, plan), "links")
     labelled = components(ws, edges)
 
-    # Second round: members of buckets that hold several components meet in blocks, those of other components only.
-    named = buckets.select("key", "band", "node").join(labelled, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("of")).where("low != high")
-    inside = named.join(mixed.select("key", "of"), "key").join(near.select("node", "n", "bands", "sketch"), "node").join(texts, "node")
-    blocks = F.ceil(F.col("of") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    inside = inside.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    inside = inside.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    # Second round: members of buckets that hold several components meet in blocks. The bucket's largest component is
+    # major: its members stand in their own block alone; the others' members stand in every block.
+    named = ws.write(buckets.select("key", "band", "node", "n").join(labelled, "node", "left").select("key", "band", "node", "n", F.coalesce("component", "node").alias("component")), "named")
+    sized = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("n"))
+    sized = sized.groupBy("key").agg(F.max_by("component", F.struct("members", "component")).alias("major"), F.sum("members").alias("of"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
+    blocks = F.ceil(F.greatest(F.col("of") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int")
+    mixed = ws.write(sized.where("parts > 1").select("key", "major", blocks.alias("blocks")), "mixed")
+    inside = named.drop("n").join(mixed, "key").join(near.select("node", "n", "bands", "sketch"), "node").join(texts, "node")
+    inside = inside.withColumn("minor", F.col("component") != F.col("major"))
+    inside = inside.withColumn("rank", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    inside = inside.withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("rank"))))
+    inside = inside.withColumn("own", F.col("block") == F.col("rank"))
     more = ws.write(_joined(inside, plan), "more")
     if not more.isEmpty():
         labelled = components(ws, edges.unionByName(more))
@@ -381,6 +411,7 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None, id_col: str = "do
     final = labelled.join(near.select("node", "smallest"), "node").groupBy("component").agg(F.min("smallest").alias("component_id"))
     final = labelled.join(final, "component").select("node", "component_id")
     reach = nodes.select("node", "smallest").join(final, "node", "left").select("node", F.coalesce("component_id", "smallest").alias("component_id"))
+    reach = ws.write(reach, "reach")  # read back, so that a set that very many rows share is a skewed join that Spark can split
     out = rows.where("node is not null").join(reach, "node").select("id", "n_shingles", "component_id")
     out = out.unionByName(rows.where("node is null").select("id", "n_shingles", F.col("id").alias("component_id")))
     ws.drop(texts)

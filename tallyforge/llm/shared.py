@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,22 +14,40 @@ from pyspark.sql import functions as F
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
+#: Bytes of an Arrow batch on its way to Python workers; a single longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
+    """The folder of spark.checkpoint.dir; only where that is unset, on a single machine (tests), a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tallyforge_')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches, unless the session has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))) > 64 << 20:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Workspace:
     """Tables of one run, written under the shared folder so that a lost executor costs no lineage."""
 
+    #: Those whose tables may still stand, in order of their making.
+    open: ClassVar[list[Workspace]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        Workspace.open.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df as Parquet and reads it back; its lineage ends there."""
@@ -49,6 +68,8 @@ class Workspace:
     def clear(self) -> None:
         """Deletes all tables, once nothing reads them any more."""
         self._delete(self.root)
+        if self in Workspace.open:
+            Workspace.open.remove(self)
 
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
