@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .shared import bound_batches, fresh
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
@@ -51,7 +52,7 @@ def _words(column):
     """Slices of a text column: rows i to j, buckets of all bytes, words as runs, first word of each row."""
     data, begin, end = K.utf8(column)
     table = _letters()
-    for i, j in K.slices(begin, end, 1 << 20):
+    for i, j in K.slices(begin, end, K.SLICE):
         base, stop = int(begin[i]), int(end[i:j].max())
         local = table[data[base:stop]]
         first, last = begin[i:j] - base, end[i:j] - base
@@ -88,6 +89,7 @@ def gram_counts(train: DataFrame, text: Column, lang: Column) -> DataFrame:
                 yield from out()
         yield from out()
 
+    bound_batches(train.sparkSession)
     part = train.select(F.lower(text).alias("text"), lang.cast("string").alias("lang")).where("text is not null and lang is not null")
     return part.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
@@ -171,14 +173,23 @@ def infer(model: Model, grams, wb, we, row_at, row_to) -> np.ndarray:
     return shares
 
 
+def mixture_names(docs: DataFrame) -> tuple[str, ...]:
+    """The names of the columns that mixtures() adds to docs: language, score, mixture."""
+    return fresh(docs, "lang_pred", "score", "mixture")
+
+
 def mixtures(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score and mixture (array of (lang, share), largest first).
 
     lang_pred is the language of the largest share (ties: first in order), score its share. Null texts, texts without
     a letter (and all texts where nothing was learned) are `und` with score 0 and an empty mixture; a text whose only
     letters lie outside the words known here falls to the first language by its likelihoods. Every row stays, repeated
-    rows are judged alike, and very long texts are read whole. docs must not have columns of these three names.
+    rows are judged alike, and very long texts are read whole. If docs has columns of these names, the new ones take
+    underscores in front; use mixture_names(docs).
     """
+    names_out = mixture_names(docs)
+    low, letter_col = fresh(docs, "lower", "letter")
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p))  # plain values: executors may lack this module
 
     def predict(batches):
@@ -202,7 +213,9 @@ def mixtures(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     text = F.col(text_col)
     columns = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
-    return docs.select(*columns, F.lower(text).alias("_lower"), text.rlike(r"\p{L}").alias("_letter")).mapInArrow(predict, f"{fields}, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
+    kinds = ("string", "double", "array<struct<lang:string,share:double>>")
+    added = ", ".join(f"`{name}` {kind}" for name, kind in zip(names_out, kinds, strict=True))
+    return docs.select(*columns, F.lower(text).alias(low), text.rlike(r"\p{L}").alias(letter_col)).mapInArrow(predict, f"{fields}, {added}")
 
 
 def held_out(doc_id: Column) -> Column:
