@@ -1,20 +1,23 @@
 """Licence scan: TF-IDF cosine of header lines and licence files to templates, and inheritance along directories.
 
-DataFrame expressions only. Units without any of the words that a cosine at the limit needs are left out; all others are
-cut into tokens and scored. A file without a licence of its own takes that of the nearest directory above it with a licence file.
+DataFrame expressions only. A file is cut into tokens once; the tokens that templates know bound its cosine to each of
+them (a text that shares the set S of a template's tokens has at most the norm of the template's weights in S), so most
+files are done with that. For the others lines, blocks and the whole text are scored within their rows: sorted tokens,
+run lengths, and a table of the templates' weights that is part of the plan; no token is ever shuffled. A file without
+a licence of its own takes that of the nearest directory above it with a licence file.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections import Counter
-from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Workspace, ascii_lower
+from .shared import Workspace, ascii_lower, fresh
 
 # Short statements of well-known licences.
 TEMPLATES = {
@@ -25,8 +28,11 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0.",
+    "EPL-2.0": "This program is licensed under the Eclipse Public License, version 2.0.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "ISC": "Released under the ISC License.",
+    "LGPL-2.1": "This library is licensed under the GNU Lesser General Public License, version 2.1.",
     "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This file is subject to the terms of the Mozilla Public License, version 2.0.",
@@ -50,14 +56,17 @@ License for the specific language governing permissions and limitations under th
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 }
-#: Words that the SQL looks for.
-DISTINCTIVE = ("affero", "apache", "bsd", "cc", "cc0", "gnu", "licence", "license", "licensed", "mit", "mozilla", "reserved")
 HEADER_COSINE = 0.6
 FILE_COSINE = 0.5
+#: The best statement must lead the next licence by so much; else the text names none of them.
+MARGIN = 0.06
 TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
 #: Successive lines of comment.
 COMMENT = r"(?m)(?:^[ \t]*(?:#|//|/?\*|--|;|%)[^\n]*(?:\n|$))+"
-HEADER = rf"(?:^|[^a-z0-9])(?:{'|'.join(DISTINCTIVE)})(?:[^a-z0-9]|$)"
+#: Empty lines, between which a block stands.
+GAP = r"\n[ \t\r]*\n"
+#: Tokens that can be a version: no years. A text with versions, none of them a template's own, is not that template's.
+VERSION = r"^[0-9]{1,2}(?:\.[0-9]+)*$"
 
 
 def tokens(text: Column) -> Column:
@@ -88,48 +97,79 @@ def weights(templates: dict[str, str] = TEMPLATES, least: float = 1.0) -> tuple[
     return idf, unit, math.log(1 + n) + least
 
 
-#: Words that `needed` leaves out first.
-COMMON = ("a", "all", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "not", "of", "on", "or", "that", "the", "this", "to", "under", "use", "with", "work", "0", "1", "2", "3")
-
-
-def needed(unit: dict[tuple[str, str], float], least: float) -> list[str]:
-    """Tokens of which a text must hold one for its rounded cosine to reach `least`.
-
-    A text that shares only a set S of a template's tokens has at most the norm of the template's weights in S as its
-    cosine, so of each template tokens are left out as long as theirs stay below `least`.
-    """
-    out = set()
-    for name in {n for n, _ in unit}:
-        mass = 0.0
-        for t, v in sorted(((t, v) for (n, t), v in unit.items() if n == name), key=lambda x: (x[0] not in COMMON, x[1], x[0])):
-            mass += v * v
-            if mass >= (least - 1e-5) ** 2:
-                out.add(t)
-    return sorted(out)
-
-
-def _holds(text: Column, words: list[str]) -> Column:
-    """Whether a lower-cased text may hold one of the tokens."""
-    return text.rlike("(?:^|[^a-z0-9])(?:" + "|".join(w.replace(".", r"\.") for w in words) + ")(?:[^a-z0-9]|$)")
-
-
-def _similar(units: DataFrame, keys: list[str], templates: dict[str, str] = TEMPLATES, least: float = 1.0) -> DataFrame:
-    """The best template of each unit of text (keys, tokens): (keys, license, score); ties go to the first name.
+def versions(text: str) -> list[str]:
+    import re
 
-    Units are dealt by the first key, so that no step deals their tokens anew.
-    """
-    spark: SparkSession = units.sparkSession
-    idf, unit, other = weights(templates, least)
-    names = sorted({n for n, _ in unit})
-    rows = [(t, v, *(unit.get((n, t), 0.0) for n in names)) for t, v in idf.items()]
-    table = spark.createDataFrame(rows, ", ".join(["token string", "idf double", *(f"w{k} double" for k in range(len(names)))]))
-    tf = units.select(*keys, F.explode("tokens").alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
-    tf = tf.join(F.broadcast(table), "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    sums = tf.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *(F.sum(F.col("w") * F.col(f"w{k}")).alias(f"d{k}") for k in range(len(names))))
-    score = lambda k: F.round(F.col(f"d{k}") / F.col("norm"), 6)
-    best = F.array_min(F.array(*(F.struct((-score(k)).alias("score"), F.lit(n.removesuffix(" header")).alias("license")) for k, n in enumerate(names))))
-    found = sums.where(F.coalesce(*(f"d{k}" for k in range(len(names)))).isNotNull()).select(*keys, best.alias("best"))
-    return found.select(*keys, "best.license", (-F.col("best.score")).alias("score"))
+    return sorted({t for t in re.findall(TOKEN, text.lower()) if re.match(VERSION, t)})
+
+
+class Scorer:
+    """Expressions that score token arrays against a set of templates. Statements tell versions apart, whole texts hold
+    numbers of all kinds and do not."""
+
+    def __init__(self, spark: SparkSession, templates: dict[str, str], least: float, told_apart: bool):
+        idf, unit, self.other = weights(templates, least)
+        self.names = sorted({n for n, _ in unit})
+        self.size = 1 << max(4, (2 * len(idf)).bit_length())
+        place = {n: k for k, n in enumerate(self.names)}
+        by_token: dict[str, list] = {t: [] for t in idf}
+        for (n, t), v in unit.items():
+            by_token[t].append({"k": place[n], "v": v})
+        slots = spark.createDataFrame([(t,) for t in idf], "t string").select("t", F.pmod(F.xxhash64("t"), F.lit(self.size)).alias("h")).collect()  # the templates' vocabulary
+        table: list[list] = [[] for _ in range(self.size)]
+        for r in slots:
+            table[r["h"]].append({"t": r["t"], "i": idf[r["t"]], "w": by_token[r["t"]]})
+        self.table = F.from_json(F.lit(json.dumps(table)), "array<array<struct<t:string,i:double,w:array<struct<k:int,v:double>>>>>")
+        self.vocabulary = F.split(F.lit(" ".join(sorted(idf))), " ")
+        self.margin = MARGIN if told_apart else 0.0
+        self.versions = [versions(templates[n]) if told_apart else [] for n in self.names]
+
+    def _entry(self, token: Column) -> Column:
+        """The templates' entry of a token, null for others: a hash table lookup."""
+        return F.get(F.filter(F.get(self.table, F.pmod(F.xxhash64(token), F.lit(self.size)).cast("int")), lambda x: x["t"] == token), F.lit(0))
+
+    def reaches(self, df: DataFrame, tokens_col: str, least: float, out: str) -> DataFrame:
+        """Adds whether any text of these tokens can reach the cosine for a template."""
+        (shared,) = fresh(df, "shared")
+        known = F.array_intersect(tokens_col, self.vocabulary)
+        df = df.withColumn(shared, F.flatten(F.transform(known, lambda t: self._entry(t)["w"])))
+        mass = lambda k: F.aggregate(F.filter(shared, lambda e: e["k"] == k), F.lit(0.0), lambda a, e: a + e["v"] * e["v"])
+        reach = F.exists(F.sequence(F.lit(0), F.lit(len(self.names) - 1)), lambda k: mass(k) >= (least - 1e-5) ** 2)
+        return df.withColumn(out, (F.size(shared) > 0) & reach).drop(shared)
+
+    def scored(self, units: DataFrame, least: float) -> DataFrame:
+        """units (..., tokens) with license and score of the best template, nulls where it doesn't reach `least` or lead.
+
+        Nothing is filtered here: Spark would move a filter below these columns and compute them within it, again and again."""
+        keys = [c for c in units.columns if c != "tokens"]
+        s, ends, runs, hits, parts, scores = fresh(units, "s", "ends", "runs", "hits", "parts", "scores")
+        df = units.withColumn(s, F.sort_array("tokens")).drop("tokens")
+        n = F.size(s)
+        places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        df = df.withColumn(ends, F.filter(places, lambda i: (i == n) | (F.get(s, i - 1) != F.get(s, i))))
+        run = lambda e, j: F.struct(F.get(s, e - 1).alias("t"), (e - F.coalesce(F.get(ends, j - 1), F.lit(0))).alias("tf"))
+        df = df.withColumn(runs, F.transform(ends, run))
+        df = df.withColumn(hits, F.transform(runs, lambda r: F.struct(r["tf"].alias("tf"), self._entry(r["t"]).alias("x"))))
+        weight = lambda h: h["tf"] * F.coalesce(h["x"]["i"], F.lit(self.other))
+        norm = F.sqrt(F.aggregate(hits, F.lit(0.0), lambda a, h: a + weight(h) * weight(h)))
+        shares = F.flatten(F.transform(F.filter(hits, lambda h: h["x"].isNotNull()), lambda h: F.transform(h["x"]["w"], lambda w: F.struct(w["k"].alias("k"), (weight(h) * w["v"]).alias("v")))))
+        df = df.withColumn(parts, F.struct(norm.alias("norm"), shares.alias("w")))
+        said = F.filter(F.array_distinct(s), lambda t: t.rlike(VERSION))
+
+        def score(k: int) -> Column:
+            dot = F.aggregate(F.filter(F.col(parts)["w"], lambda e: e["k"] == k), F.lit(0.0), lambda a, e: a + e["v"])
+            value = F.round(dot / F.greatest(F.col(parts)["norm"], F.lit(1e-9)), 6)
+            if self.versions[k]:
+                own = F.array(*map(F.lit, self.versions[k]))
+                value = F.when((F.size(said) == 0) | F.arrays_overlap(said, own), value).otherwise(0.0)
+            return F.struct((-value).alias("score"), F.lit(self.names[k].removesuffix(" header")).alias("license"))
+
+        df = df.withColumn(scores, F.array_sort(F.array(*(score(k) for k in range(len(self.names))))))
+        first = F.get(scores, F.lit(0))
+        after = F.get(F.filter(scores, lambda x: x["license"] != first["license"]), F.lit(0))
+        leads = F.round(-first["score"] + F.coalesce(after["score"], F.lit(0.0)), 6) >= self.margin
+        named = F.when((-first["score"] >= least) & leads, F.struct(first["license"].alias("license"), (-first["score"]).alias("score")))
+        return df.withColumn(s, named).select(*keys, F.col(s)["license"].alias("license"), F.col(s)["score"].alias("score"))
 
 
 def parents(directory: Column) -> Column:
@@ -142,87 +182,124 @@ def parents(directory: Column) -> Column:
 def scan(files: DataFrame) -> DataFrame:
     """files (path, text and others) with n_headers, license, score, is_license_file, effective_license, inherited_from.
 
-    A header is a line whose cosine to a template reaches HEADER_COSINE, or a block (lines of comment, or lines
-    between empty ones) whose cosine to a licence text does, where no line in the file is one; the best one is the
-    file's licence. A file whose whole text reaches FILE_COSINE to a template or to a licence text is a licence file and speaks for its directory (best
-    score, then first path). Files without a licence inherit from the nearest directory that has one. Null texts have
-    no licence of their own; a null path has no directory and inherits nothing. Repeated rows keep their own rows.
+    A header is a line whose cosine to a statement reaches HEADER_COSINE, or a block (lines of comment, or lines between
+    empty ones) whose cosine to a licence text does, where no line in the file is one; the best one (ties: the first) is
+    the file's licence. A file whose whole text reaches FILE_COSINE to a statement, else to a licence text, is a licence
+    file and speaks for its directory (best score, then first path). A text between two licences (MARGIN), or whose
+    version is another one, names none. Files without a licence inherit from the nearest directory that has one. Null
+    texts have no licence of their own; a null path has no directory and inherits nothing. Repeated rows keep their own
+    rows; other columns are carried. If files has columns of the new names, the new ones take underscores in front.
     """
-    ws = Workspace(files.sparkSession, "licenses")
-    text = ascii_lower(F.col("text"))
-    rows = files.withColumn("uid", F.monotonically_increasing_id()).withColumn("directory", F.regexp_extract("path", r"(?s)^(?:(.*)/)?[^/]*$", 1))
-    unit = weights()[1]
-    in_line, in_file = needed(unit, HEADER_COSINE), needed(unit, FILE_COSINE)
-    long = texts()
-    in_long = set(needed(weights(long, 0.0)[1], FILE_COSINE))
-    hits = ws.write(rows.where(_holds(text, sorted({*in_line, *in_file, *in_long}))).select("uid", "path", "directory", "text"), "hits")
-    dealt = hits.select("uid", "text").repartition("uid")
-    lines = dealt.select("uid", F.posexplode(F.split("text", "\n", -1)).alias("line", "content")).where(_holds(ascii_lower(F.col("content")), in_line))
-    headers = _similar(lines.select("uid", "line", tokens(F.col("content")).alias("tokens")), ["uid", "line"]).where(F.col("score") >= HEADER_COSINE)
-    best = F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), "line"))
-    own = headers.groupBy("uid").agg(F.count(F.lit(1)).alias("n_headers"), best.alias("own"))
-    whole = _similar(dealt.where(_holds(text, in_file)).select("uid", tokens(F.col("text")).alias("tokens")), ["uid"]).where(F.col("score") >= FILE_COSINE)
-    whole = whole.select("uid", F.struct("license", "score").alias("file"))
-    blocks = F.concat(F.regexp_extract_all("text", F.lit(COMMENT), F.lit(0)), F.split("text", r"\n[ \t\r]*\n"))
-    blocks = dealt.select("uid", F.posexplode(blocks).alias("line", "content")).where(_holds(ascii_lower(F.col("content")), sorted(in_long)))
-    blocks = _similar(blocks.select("uid", "line", tokens(F.col("content")).alias("tokens")), ["uid", "line"], long, 0.0).where(F.col("score") >= HEADER_COSINE)
-    blocks = blocks.groupBy("uid").agg(best.alias("block"))
-    entire = _similar(dealt.where(_holds(text, sorted(in_long))).select("uid", tokens(F.col("text")).alias("tokens")), ["uid"], long, 0.0).where(F.col("score") >= FILE_COSINE)
-    entire = entire.select("uid", F.struct("license", "score").alias("entire"))
-    found = hits.select("uid", "path", "directory").join(own, "uid", "left").join(whole, "uid", "left").join(blocks, "uid", "left").join(entire, "uid", "left")
-    count = F.coalesce("n_headers", F.when(F.col("block").isNotNull(), F.lit(1).cast("long")))
-    found = ws.write(found.select("uid", "path", "directory", count.alias("n_headers"), F.coalesce("own", "block").alias("own"), F.coalesce("file", "entire").alias("file")), "found")
-
-    speaks = F.min_by(F.col("file.license"), F.struct(-F.col("file.score"), "path"))
-    licensed = found.where("file is not null and directory is not null").groupBy("directory").agg(speaks.alias("dir_license"))
-    directories = rows.where("directory is not null").select("directory").distinct().withColumn("up", F.explode(parents(F.col("directory"))))
-    nearest = directories.select("directory", "up.depth", F.col("up.directory").alias("above")).join(licensed.withColumnRenamed("directory", "above"), "above")
-    nearest = nearest.groupBy("directory").agg(F.max(F.struct("depth", "above", "dir_license")).alias("near"))
-    out = rows.drop("text").join(found.select("uid", "n_headers", "own", "file"), "uid", "left").join(nearest, "directory", "left")
-    mine = F.coalesce("file.license", "own.license")
-    return out.select(
-        *(c for c in files.columns if c != "text"), F.coalesce("n_headers", F.lit(0).cast("long")).alias("n_headers"), mine.alias("license"),
-        F.coalesce("file.score", "own.score").alias("score"), F.col("file").isNotNull().alias("is_license_file"),
-        F.coalesce(mine, F.col("near.dir_license")).alias("effective_license"), F.when(mine.isNull(), F.col("near.above")).alias("inherited_from"),
+    spark = files.sparkSession
+    ws = Workspace(spark, "licenses")
+    short, long = Scorer(spark, TEMPLATES, 1.0, True), Scorer(spark, texts(), 0.0, False)
+    uid, directory, toks, near, held = fresh(files, "uid", "directory", "tokens", "near", "held")
+    flags = fresh(files, "in_line", "in_file", "in_block", "in_text")
+    names = fresh(files.drop("text"), "n_headers", "license", "score", "is_license_file", "effective_license", "inherited_from")
+
+    # One pass over all texts; rows and their numbers are written, texts only where something may be found in them.
+    rows = files.withColumn(uid, F.monotonically_increasing_id()).withColumn(directory, F.regexp_extract("path", r"(?s)^(?:(.*)/)?[^/]*$", 1))
+    rows = rows.withColumn(toks, tokens(F.coalesce(F.col("text"), F.lit(""))))
+    for scorer, least, out in zip((short, short, long, long), (HEADER_COSINE, FILE_COSINE, HEADER_COSINE, FILE_COSINE), flags, strict=True):
+        rows = scorer.reaches(rows, toks, least, out)
+    some = F.col(flags[1]) | F.col(flags[3])  # the lower limits
+    rows = ws.write(rows.withColumn(held, F.when(some, F.col("text"))).drop("text", toks), "rows")
+    hits = rows.where(F.col(held).isNotNull()).select(F.col(uid).alias("uid"), F.col(held).alias("text"), *(F.col(f).alias(n) for f, n in zip(flags, ("in_line", "in_file", "in_block", "in_text"), strict=True)))
+
+    def units(flag: str, content: Column) -> DataFrame:
+        out = hits.where(flag).select("uid", F.posexplode(content).alias("line", "content"))
+        return out.select("uid", "line", tokens(F.col("content")).alias("tokens"))
+
+    def best(scorer: Scorer, flag: str, content: Column, least: float, n: str, name: str) -> DataFrame:
+        """Of each file the number of units that reach the limit and the best one."""
+        found = scorer.scored(units(flag, content), least)
+        first = F.min_by(F.struct("license", "score"), F.when(F.col("license").isNotNull(), F.struct(-F.col("score"), "line")))
+        return ws.write(found.groupBy("uid").agg(F.count("license").alias(n), first.alias(name)).where(F.col(n) > 0), name)
+
+    blocks = F.concat(F.regexp_extract_all("text", F.lit(COMMENT), F.lit(0)), F.split("text", GAP, -1))
+    own = best(short, "in_line", F.split("text", "\n", -1), HEADER_COSINE, "n_headers", "own")
+    whole = best(short, "in_file", F.array("text"), FILE_COSINE, "n_whole", "file")
+    block = best(long, "in_block", blocks, HEADER_COSINE, "n_blocks", "block")
+    entire = best(long, "in_text", F.array("text"), FILE_COSINE, "n_entire", "entire")
+    found = own.join(block, "uid", "full_outer").join(whole, "uid", "full_outer").join(entire, "uid", "full_outer")
+    count = F.coalesce("n_headers", F.when(F.col("block").isNotNull(), F.lit(1).cast("long")), F.lit(0).cast("long"))
+    found = found.select(F.col("uid").alias(uid), F.struct(count.alias("n"), F.coalesce("own", "block").alias("own"), F.coalesce("file", "entire").alias("file")).alias(held))
+    rows = ws.write(rows.drop(held, *flags).join(found, uid, "left"), "found")
+
+    file, mine = F.col(held)["file"], F.coalesce(F.col(held)["file"]["license"], F.col(held)["own"]["license"])
+    speaks = F.min_by(file["license"], F.struct(-file["score"], "path"))
+    licensed = rows.where(file.isNotNull() & F.col(directory).isNotNull()).groupBy(F.col(directory).alias("above")).agg(speaks.alias("dir_license"))
+    directories = rows.where(F.col(directory).isNotNull()).select(F.col(directory).alias("directory")).distinct().withColumn("up", F.explode(parents(F.col("directory"))))
+    nearest = directories.select("directory", "up.depth", F.col("up.directory").alias("above")).join(licensed, "above")
+    nearest = nearest.groupBy("directory").agg(F.max(F.struct("depth", "above", "dir_license")).alias(near)).withColumnRenamed("directory", directory)
+    out = rows.join(ws.write(nearest, "nearest"), directory, "left")  # written, so that a flat directory is a skewed join that Spark can split
+    values = (
+        F.coalesce(F.col(held)["n"], F.lit(0).cast("long")), mine, F.coalesce(file["score"], F.col(held)["own"]["score"]), file.isNotNull(),
+        F.coalesce(mine, F.col(near)["dir_license"]), F.when(mine.isNull(), F.col(near)["above"]),
     )
+    return out.select(*(F.col(f"`{c}`") for c in files.columns if c != "text"), *(v.alias(n) for v, n in zip(values, names, strict=True)))
 
 
 def document_files(docs: DataFrame) -> DataFrame:
-    """Documents as files (doc_id, path, text): <source>/<lang>/<doc_id>.txt; nulls in a path read `unknown`."""
+    """Documents as files (doc_id, path, text): by their number one third each stands in <source>/, <source>/<lang>/ and
+    <source>/<lang>/<last digit>/; nulls in a path read `unknown`."""
     step = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
-    return docs.select("doc_id", F.concat(step("source"), F.lit("/"), step("lang"), F.lit("/"), step("doc_id"), F.lit(".txt")).alias("path"), "text")
+    third = F.coalesce(F.col("doc_id") % 3, F.lit(0))
+    lang = F.when(third == 0, F.lit("")).otherwise(F.concat(step("lang"), F.lit("/")))
+    digit = F.when(third == 2, F.concat((F.col("doc_id") % 10).cast("string"), F.lit("/"))).otherwise("")
+    return docs.select("doc_id", F.concat(step("source"), F.lit("/"), lang, digit, step("doc_id"), F.lit(".txt")).alias("path"), "text")
 
 
 def oracle() -> str:
-    """scan(document_files(documents)) in DuckDB SQL."""
-    idf, unit, other = weights()
+    """scan(document_files(documents)) in DuckDB SQL: every line, block and text is scored, none is left out before."""
     lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    vocabulary = ", ".join(f"('{t}', {v!r}::DOUBLE)" for t, v in idf.items())
-    table = ", ".join(f"('{a}', '{t}', {v!r}::DOUBLE)" for (a, t), v in unit.items())
-
-    def similar(units: str, keys: list[str], least: float) -> str:
-        k = ", ".join(keys)
-        return f"""(WITH t AS (SELECT {k}, token, count(*) AS tf FROM (SELECT {k}, unnest(regexp_extract_all({lower("content")}, '{TOKEN}')) AS token FROM {units}) GROUP BY ALL),
-  w AS (SELECT t.*, tf * coalesce(v.idf, {other!r}::DOUBLE) AS w, v.idf FROM t LEFT JOIN v USING (token)),
-  n AS (SELECT {k}, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
-  d AS (SELECT {k}, license, sum(w * weight) AS dot FROM w JOIN x USING (token) GROUP BY ALL),
-  s AS (SELECT {k}, license, round(dot / norm, 6) AS score FROM d JOIN n USING ({k}))
-  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY score DESC, license) = 1 AND score >= {least})"""
 
+    def known(templates: dict[str, str], least: float, told_apart: bool) -> tuple[str, str, float, str]:
+        idf, unit, other = weights(templates, least)
+        table = ", ".join(f"('{a}', '{a.removesuffix(' header')}', '{t}', {v!r}::DOUBLE)" for (a, t), v in unit.items())
+        own = ", ".join(f"('{n}', [{', '.join(repr(v) for v in (versions(x) if told_apart else []))}]::VARCHAR[])" for n, x in templates.items())
+        return ", ".join(f"('{t}', {v!r}::DOUBLE)" for t, v in idf.items()), table, other, own
+
+    short, long = known(TEMPLATES, 1.0, True), known(texts(), 0.0, False)
+
+    def similar(units: str, which: int, least: float) -> str:
+        other = (short, long)[which][2]
+        return f"""(WITH t AS (SELECT doc_id, line, token, count(*) AS tf FROM (SELECT doc_id, line, unnest(regexp_extract_all({lower("content")}, '{TOKEN}')) AS token FROM {units}) GROUP BY ALL),
+  w AS (SELECT t.*, tf * coalesce(v.idf, {other!r}::DOUBLE) AS w FROM t LEFT JOIN v{which} v USING (token)),
+  n AS (SELECT doc_id, line, sqrt(sum(w * w)) AS norm, coalesce(list(token) FILTER (regexp_matches(token, '{VERSION}')), []) AS said FROM w GROUP BY ALL),
+  d AS (SELECT doc_id, line, template, any_value(license) AS license, sum(w * weight) AS dot FROM w JOIN x{which} USING (token) GROUP BY doc_id, line, template),
+  s AS (SELECT doc_id, line, license, round(dot / norm, 6) AS score FROM d JOIN n USING (doc_id, line) JOIN o{which} USING (template) WHERE len(own) = 0 OR len(said) = 0 OR list_has_any(own, said)),
+  m AS (SELECT doc_id, line, license, max(score) AS score FROM s GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER p AS place, lead(score, 1, 0) OVER p AS after FROM m WINDOW p AS (PARTITION BY doc_id, line ORDER BY score DESC, license))
+  SELECT doc_id, line, license, score FROM r WHERE place = 1 AND score >= {least} AND round(score - after, 6) >= {0.0 if which else MARGIN})"""
+
+    def tables(k: int, t: tuple) -> str:
+        return f"v{k}(token, idf) AS (VALUES {t[0]}), x{k}(template, license, token, weight) AS (VALUES {t[1]}), o{k}(template, own) AS (VALUES {t[3]})"
+
+    comment = COMMENT.replace("'", "''")
     return f"""
-WITH v(token, idf) AS (VALUES {vocabulary}), x(license, token, weight) AS (VALUES {table}),
-f AS (SELECT doc_id, coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') AS directory,
-  coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') || '/' || coalesce(doc_id::VARCHAR, 'unknown') || '.txt' AS path, text AS content FROM documents),
-h AS (SELECT * FROM f WHERE regexp_matches({lower("content")}, '{HEADER}')),
-l AS (SELECT doc_id, generate_subscripts(string_split(content, chr(10)), 1) AS line, unnest(string_split(content, chr(10))) AS content FROM h),
-lh AS (SELECT * FROM l WHERE regexp_matches({lower("content")}, '{HEADER}')),
-heads AS {similar("lh", ["doc_id", "line"], HEADER_COSINE)},
+WITH {tables(0, short)}, {tables(1, long)},
+f AS (SELECT doc_id, source || lang || digit AS directory, source || lang || digit || '/' || coalesce(doc_id::VARCHAR, 'unknown') || '.txt' AS path, content,
+    [source || lang || digit, source || lang, source] AS above
+  FROM (SELECT doc_id, coalesce(source, 'unknown') AS source, CASE WHEN coalesce(doc_id % 3, 0) = 0 THEN '' ELSE '/' || coalesce(lang, 'unknown') END AS lang,
+    CASE WHEN doc_id % 3 = 2 THEN '/' || (doc_id % 10)::VARCHAR ELSE '' END AS digit, text AS content FROM documents)),
+l AS (SELECT doc_id, generate_subscripts(string_split(content, chr(10)), 1) AS line, unnest(string_split(content, chr(10))) AS content FROM f),
+b1 AS (SELECT doc_id, list_concat(regexp_extract_all(content, '{comment}'), string_split_regex(content, '{GAP}')) AS parts FROM f),
+b AS (SELECT doc_id, generate_subscripts(parts, 1) AS line, unnest(parts) AS content FROM b1),
+h AS (SELECT doc_id, 0 AS line, content FROM f),
+heads AS {similar("l", 0, HEADER_COSINE)},
+parts AS {similar("b", 1, HEADER_COSINE)},
 own AS (SELECT doc_id, count(*) AS n_headers, min_by(license, struct_pack(a := -score, b := line)) AS license, max(score) AS score FROM heads GROUP BY doc_id),
-whole AS {similar("h", ["doc_id"], FILE_COSINE)},
+block AS (SELECT doc_id, min_by(license, struct_pack(a := -score, b := line)) AS license, max(score) AS score FROM parts GROUP BY doc_id),
+said AS {similar("h", 0, FILE_COSINE)},
+entire AS {similar("h", 1, FILE_COSINE)},
+whole AS (SELECT doc_id, coalesce(s.license, e.license) AS license, coalesce(s.score, e.score) AS score FROM said s FULL JOIN entire e USING (doc_id)),
 dirs AS (SELECT directory, license FROM (SELECT f.directory, w.license, row_number() OVER (PARTITION BY f.directory ORDER BY w.score DESC, f.path) AS r
-  FROM whole w JOIN f USING (doc_id)) WHERE r = 1)
-SELECT f.doc_id, f.path, coalesce(own.n_headers, 0) AS n_headers, coalesce(whole.license, own.license) AS license,
-  coalesce(whole.score, own.score) AS score, whole.license IS NOT NULL AS is_license_file,
-  coalesce(whole.license, own.license, dirs.license) AS effective_license,
-  CASE WHEN coalesce(whole.license, own.license) IS NULL AND dirs.license IS NOT NULL THEN f.directory END AS inherited_from
-FROM f LEFT JOIN own USING (doc_id) LEFT JOIN whole USING (doc_id) LEFT JOIN dirs USING (directory)"""
+  FROM whole w JOIN f USING (doc_id)) WHERE r = 1),
+near AS (SELECT doc_id, max_by(struct_pack(directory := directory, license := license), strlen(directory)) AS near
+  FROM (SELECT doc_id, unnest(above) AS directory FROM f) JOIN dirs USING (directory) GROUP BY doc_id),
+found AS (SELECT f.doc_id, f.path, coalesce(own.n_headers, CASE WHEN block.license IS NOT NULL THEN 1 END, 0) AS n_headers, whole.license IS NOT NULL AS is_license_file,
+  coalesce(whole.license, own.license, block.license) AS license, coalesce(whole.score, own.score, block.score) AS score, near.near AS near
+  FROM f LEFT JOIN own USING (doc_id) LEFT JOIN block USING (doc_id) LEFT JOIN whole USING (doc_id) LEFT JOIN near USING (doc_id))
+SELECT doc_id, path, n_headers, license, score, is_license_file, coalesce(license, near.license) AS effective_license,
+  CASE WHEN license IS NULL THEN near.directory END AS inherited_from FROM found"""

@@ -1,7 +1,10 @@
 import math
+import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tallyforge.llm import licenses as L
 
 
@@ -10,7 +13,10 @@ def cosine(text):
     tf = Counter(re.findall(L.TOKEN, text.lower()))
     norm = math.sqrt(sum((n * idf.get(t, other)) ** 2 for t, n in tf.items()))
     scores = {name: round(sum(n * idf[t] * unit.get((name, t), 0) for t, n in tf.items() if t in idf) / norm, 6) if norm else 0 for name in L.TEMPLATES}
-    return min(scores.items(), key=lambda x: (-x[1], x[0]))
+    said = {t for t in tf if re.match(L.VERSION, t)}
+    scores |= {n: 0.0 for n in scores if said and (own := set(L.versions(L.TEMPLATES[n]))) and not own & said}
+    name, score = min(scores.items(), key=lambda x: (-x[1], x[0]))
+    return name, score, round(score - max(v for n, v in scores.items() if n != name), 6)
 
 
 def test_headers_files_and_inheritance(spark):
@@ -36,7 +42,7 @@ def test_headers_files_and_inheritance(spark):
     assert view[None][:2] == ("Proprietary", "Proprietary")
     for p, t in rows:
         if p in ("a/b/COPYING", "a/LICENSE.txt"):
-            assert (got[p]["license"], got[p]["score"]) == cosine(t)
+            assert (got[p]["license"], got[p]["score"]) == cosine(t)[:2]
 
 
 def test_empty(spark):
@@ -50,15 +56,55 @@ def test_lines_and_files_without_a_listed_word_are_scored(spark):
     for k, line in enumerate(said):
         for e in range(2):
             r = got[f"d{k}/x{e}"]
-            assert (r["license"], r["score"], r["n_headers"], r["is_license_file"]) == (*cosine(line), 1, e == 0)
+            assert (r["license"], r["score"], r["n_headers"], r["is_license_file"]) == (*cosine(line)[:2], 1, e == 0)
 
 
-def test_needed_words_pass_every_subset_at_the_limit():
-    _, unit, _ = L.weights()
+def test_files_that_are_left_out_cannot_reach_the_limit(spark):
+    """The bound of every subset of a template's tokens holds for its cosine, and a file at the limit is never left out."""
+    rng = random.Random(3)
+    scorer = L.Scorer(spark, L.TEMPLATES, 1.0, True)
+    vocabulary = sorted({t for _, t in L.weights()[1]})
+    rows = []
+    for k in range(400):
+        tokens = [rng.choice(vocabulary) for _ in range(rng.randrange(1, 14))] + [f"w{x}" for x in range(rng.randrange(0, 12))]
+        rows.append((k, " ".join(tokens)))
+    df = spark.createDataFrame(rows, "k long, text string").withColumn("tokens", L.tokens(F.col("text")))
     for least in (L.HEADER_COSINE, L.FILE_COSINE):
-        words = set(L.needed(unit, least))
-        for name in L.TEMPLATES:
-            assert sum(v * v for (n, t), v in unit.items() if n == name and t not in words) < least**2
+        passed = {r["k"] for r in scorer.reaches(df, "tokens", least, "ok").where("ok").collect()}
+        assert {k for k, text in rows if cosine(text)[1] >= least} <= passed and len(passed) < len(rows)
+
+
+def test_scores_match_brute_force(spark):
+    rng = random.Random(5)
+    scorer = L.Scorer(spark, L.TEMPLATES, 1.0, True)
+    rows = [(k, " ".join(rng.sample(text.split(), rng.randrange(2, len(text.split()) + 1)) + ["pad"] * rng.randrange(3))) for k, text in enumerate(list(L.TEMPLATES.values()) * 12)]
+    rows += [(len(rows), ""), (len(rows) + 1, "nothing here")]
+    df = spark.createDataFrame(rows, "k long, text string").select("k", L.tokens(F.col("text")).alias("tokens"))
+    got = {r["k"]: (r["license"], r["score"]) for r in scorer.scored(df, L.HEADER_COSINE).collect()}
+    assert len(got) == len(rows)
+    for k, text in rows:
+        name, score, lead = cosine(text)
+        assert got[k] == ((name, score) if score >= L.HEADER_COSINE and lead >= L.MARGIN else (None, None))
+
+
+def test_names_and_versions_are_told_apart(spark):
+    said = {
+        "Eclipse Public License, Version 2.0": "EPL-2.0", "ISC License": "ISC", "GNU Lesser General Public License, version 2.1": "LGPL-2.1", "GNU Lesser General Public License, version 3": "LGPL-3.0",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0", "This work is licensed under the GNU General Public License.": None, "MIT License": "MIT",
+        "This work is licensed under the GNU General Public License, version 7.": None,
+    }
+    body = " ".join(f"word{k}" for k in range(80))
+    rows = [(f"d{k}/x.txt", f"{line}\n{body}") for k, line in enumerate(said)]
+    got = {r["path"]: r["license"] for r in L.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert [got[f"d{k}/x.txt"] for k in range(len(said))] == list(said.values())
+
+
+def test_clashing_names_and_a_flat_directory(spark):
+    rows = [(k, "flat/LICENSE" if k == 7 else f"flat/{k}", "Released under the MIT License." if k == 7 else "x", "theirs", k, 0.5) for k in range(300)]
+    out = L.scan(spark.createDataFrame(rows, "uid long, path string, text string, directory string, n_headers long, score double"))
+    assert out.columns == ["uid", "path", "directory", "n_headers", "score", "_n_headers", "license", "_score", "is_license_file", "effective_license", "inherited_from"]
+    got = out.collect()
+    assert len(got) == 300 and all(r["directory"] == "theirs" and r["n_headers"] == r["uid"] and r["effective_license"] == "MIT" for r in got)
 
 
 def test_licence_texts_and_header_blocks(spark):
