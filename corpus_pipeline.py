@@ -6,11 +6,13 @@ each row. run() writes each stage's result in the shared folder, so that a lost
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import fmindex, langmix, minhash, mixing, sharding
-from tallyforge.llm.shared import Workspace, table
+from tallyforge.llm.shared import Workspace, fresh, table
 
 #: A text is rejected if its best language has less than this share of it, or if it has no letter.
 LEAST_SHARE = 0.5
@@ -29,38 +31,65 @@ def _with_text(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long"))
 
 
+#: Workspaces of earlier stages, which a stage clears once it reads none of them any more.
+_left: list[Workspace] = []
+
+
+def _stage(function):
+    """Clears what earlier stages have written for themselves: their results have been written and are docs by now."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles() if _left else []
+        for ws in [w for w in _left if not any(w.root.removeprefix("file:").lstrip("/") in f for f in read)]:
+            ws.clear()
+            _left.remove(ws)
+        mark = len(Workspace.open)
+        out = function(spark, docs, sf_dir)
+        _left.extend(Workspace.open[mark:])
+        return out
+
+    return run_stage
+
+
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and texts that no language has half of; the others stay as they are."""
     found = langmix.mixtures(docs, langmix.learned(docs))
-    return found.where((F.col("lang_pred") != langmix.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    lang, score, _ = langmix.mixture_names(docs)
+    return found.where((F.col(lang) != langmix.UNKNOWN) & (F.col(score) >= LEAST_SHARE)).select(*docs.columns)
 
 
+@_stage
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group, and all texts without words.
+    """Keeps one row of each near-duplicate group, that of the smallest doc_id (null last), and all texts without words.
 
-    Rows that repeat the kept id keep one row."""
+    Rows are told apart by a number of their own, so repeated and null ids change nothing: of rows that share a text
+    one stays, and rows that share only their id are judged by their texts."""
+    ws = Workspace(spark, "dedup")
+    (uid, group) = fresh(docs, "uid", "group")
+    rows = ws.write(docs.withColumn(uid, F.monotonically_increasing_id()), "rows")
     held = Workspace(spark, "minhash")
-    rows = Workspace(spark, "dedup").write(minhash.near_duplicates(docs, NEAR, ws=held), "rows")
+    found = minhash.near_duplicates(rows, NEAR, id_col=uid, ws=held).select(uid, F.col("component_id").alias(group))
+    found = ws.write(rows.select(uid, "doc_id").join(found, uid), "found")
     held.clear()
-    kept = rows.where(F.col("kept") | F.col("component_id").isNull()).groupBy("doc_id").count()
-    named = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    often = kept.where("count > 1")
-    if often.isEmpty():
-        return named
-    once = named.join(often, named["doc_id"].eqNullSafe(often["doc_id"]), "left_anti")
-    return once.unionByName(named.join(often, named["doc_id"].eqNullSafe(often["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"]))
+    kept = found.groupBy(group).agg(F.min_by(uid, F.struct(F.col("doc_id").isNull(), "doc_id", uid)).alias(uid))
+    return rows.join(kept.select(uid), uid, "left_semi").select(*docs.columns)
 
 
+@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the words of benchmark passages out of the texts; every document stays."""
     return _with_text(fmindex.decontaminate(docs, table(spark, sf_dir, "benchmark"))).select(*docs.columns)
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draws blocks of the sources to their target shares; one row for each stretch of a document in a drawn block."""
     return _with_text(mixing.mixed_documents(docs, block=MIX_BLOCK)).select(*docs.columns)
 
 
+@_stage
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds shard and slot."""
     return sharding.sharded(docs, SHARDS)
