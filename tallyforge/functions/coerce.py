@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,9 +84,37 @@ def chunk_bucket(n: Column) -> Column:
 def human_bytes(n: Column) -> Column:
     out = None
     for k, unit in reversed(list(enumerate(("B", "KiB", "MiB", "GiB", "TiB")))):
-        value = F.format_string("%.1f " + unit, n / float(1024**k))
+        value = F.format_string("%.1f" + unit, n / float(1024**k))
         out = F.when(n >= 1024**k, value) if out is None else out.when(n >= 1024**k, value)
-    return out.otherwise(F.format_string("%.1f B", n.cast("double")))
+    return out.otherwise(F.format_string("%.1fB", n.cast("double")))
+
+
+def eight_decimals(value: Column) -> Column:
+    """A number with eight decimals, '' where there is none (text that is no number included)."""
+    return F.when(num(value).isNotNull(), F.format_string("%.8f", num(value))).otherwise("")
+
+
+def codes_of(text_value: str | None, separators: str = ",;") -> list[str] | None:
+    """A list of codes from text, upper-cased, blanks left out; None (no filter) for blank text."""
+    found = [x.strip().upper() for x in re.split(f"[{separators}]", text_value or "") if x.strip()]
+    return found or None
+
+
+def label_ids(items, codes: tuple[str, ...]) -> list[int]:
+    """Ids of codes or whole numbers, each once, in order; an error for what is neither."""
+    out: dict[int, None] = {}
+    for x in items:
+        word = str(x).strip()
+        k = codes.index(word.upper()) if word.upper() in codes else int(word)
+        if not 0 <= k < len(codes):
+            raise ValueError(f"{x} is no label")
+        out[k] = None
+    return list(out)
+
+
+def first_seen(paths) -> list[str]:
+    """Each path once, in the order of its first mention."""
+    return list(dict.fromkeys(paths))
 
 
 def literals(values) -> Column:

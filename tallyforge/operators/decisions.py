@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
-from ..functions.coerce import at_least, at_most, first_text, group_key, lookup, pct
+from ..functions.coerce import at_least, at_most, eight_decimals, first_text, group_key, lookup, pct
 
 MATCHES = ("weak_top1_match", "weak_top2_match", "weak_top3_match", "weak_region_match")
 
@@ -84,6 +84,8 @@ def finished(rows: DataFrame, *keys: str) -> DataFrame:
         *keys, "n", F.round(F.col("duration") / 3600, 6).alias("hours"), F.round("mean_score", 6).alias("mean_score"), F.round("mean_margin", 6).alias("mean_margin"),
         "strong", "usable", "low", "weak_top1", "weak_top2", "weak_top3", "weak_region", pct(F.col("strong"), F.col("n")).alias("strong_pct"),
         pct(F.col("weak_top1"), F.col("n")).alias("weak_top1_pct"), pct(F.col("weak_region"), F.col("n")).alias("weak_region_pct"),
+        pct(F.col("usable"), F.col("n")).alias("usable_pct"), pct(F.col("low"), F.col("n")).alias("low_pct"),
+        pct(F.col("weak_top2"), F.col("n")).alias("weak_top2_pct"), pct(F.col("weak_top3"), F.col("n")).alias("weak_top3_pct"),
         pct(F.col("strong_weak_top1"), F.col("strong")).alias("strong_weak_top1_pct"), pct(F.col("strong_weak_region"), F.col("strong")).alias("strong_weak_region_pct"),
     )
 
@@ -184,12 +186,13 @@ def change_pairs(both: DataFrame) -> DataFrame:
 
 
 def policy_transitions(both: DataFrame) -> DataFrame:
-    """Per policy how often it held before and after, over all and over changed rows."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(p.name).alias("policy"), F.col(f"base_{p.name}").alias("b"), F.col(f"cand_{p.name}").alias("c")) for p in dims.POLICIES)))
-    rows = both.select("changed", pairs.alias("x")).select("changed", "x.*")
-    b, c, changed = F.col("b"), F.col("c"), F.col("changed")
-    cells = {"kept": b & c, "lost": b & ~c, "gained": ~b & c, "neither": ~b & ~c}
-    out = rows.groupBy("policy").agg(*(_count(v).alias(k) for k, v in cells.items()), *(_count(v & changed).alias(f"changed_{k}") for k, v in cells.items()))
+    """Per policy how often it held before and after, over all and over changed rows: one aggregate of all counts."""
+    counts = []
+    for k, p in enumerate(dims.POLICIES):
+        b, c = F.col(f"base_{p.name}"), F.col(f"cand_{p.name}")
+        cells = {"kept": b & c, "lost": b & ~c, "gained": ~b & c, "neither": ~b & ~c}
+        counts.append(F.struct(F.lit(p.name).alias("policy"), *(_count(v).alias(n) for n, v in cells.items()), *(_count(v & F.col("changed")).alias(f"changed_{n}") for n, v in cells.items())).alias(f"p{k}"))
+    out = both.agg(*counts).select(F.explode(F.array(*(f"p{k}" for k in range(len(dims.POLICIES))))).alias("x")).select("x.*")
     return out.withColumn("net_gain", F.col("gained") - F.col("lost"))
 
 
@@ -202,7 +205,55 @@ def capped(rows: DataFrame, cap: int) -> DataFrame:
     return out.select("policy", "final_dialect", "sample_id")
 
 
-def subset_counts(rows: DataFrame, cap: int) -> DataFrame:
+def subset_counts(rows: DataFrame, cap: int, wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows of each policy and label: scanned, emitted up to the cap, skipped by the cap or because the label isn't wanted."""
     out = policy_rows(rows).groupBy("policy", "final_dialect").agg(F.count(F.lit(1)).alias("scanned"))
-    emitted = F.least(F.col("scanned"), F.lit(cap).cast("long")) if cap else F.col("scanned")
-    return out.withColumn("emitted", emitted).withColumn("skipped_by_cap", F.col("scanned") - emitted)
+    inside = F.col("final_dialect").isin(*wanted) if wanted is not None else F.lit(True)
+    able = F.when(inside, F.col("scanned")).otherwise(F.lit(0).cast("long"))
+    emitted = F.least(able, F.lit(cap).cast("long")) if cap else able
+    return out.withColumn("emitted", emitted).withColumn("skipped_by_cap", able - emitted).withColumn("skipped_by_dialect", F.col("scanned") - able)
+
+
+def label_changes(both: DataFrame) -> DataFrame:
+    """Rows of each label on either side, and changed ones from and to it; labels of both sides."""
+    sides = both.select(F.explode(F.array(
+        F.struct(F.col("base_final_dialect").alias("label"), F.lit(1).alias("b"), F.lit(0).alias("c"), F.col("changed").cast("int").alias("f"), F.lit(0).alias("t")),
+        F.struct(F.col("cand_final_dialect").alias("label"), F.lit(0).alias("b"), F.lit(1).alias("c"), F.lit(0).alias("f"), F.col("changed").cast("int").alias("t")),
+    )).alias("x")).select("x.*")
+    return sides.groupBy("label").agg(*(F.sum(k).alias(n) for k, n in (("b", "base_rows"), ("c", "cand_rows"), ("f", "changed_from"), ("t", "changed_to"))))
+
+
+#: The columns of an exported label row, in order, and the optional ones that are empty where the input lacks them.
+EXPORT = (
+    "sample_id", "manifest_row", "tar_path", "member", "youtube_id", "duration", "decoded", "weak_cc", "weak_region", "pseudo_cc", "teacher_cc", "teacher_confidence", "teacher_margin",
+    "pseudo_label_source", "whisper_language", "whisper_language_confidence", "final_dialect", "final_country", "final_region", "confidence_tier", "strong_model_only", "sure_model_only",
+    "ultra_sure_model_only", "sure_with_weak_region", "sure_with_weak_top1", "top1_score", "margin", "entropy", "top2_cc", "top2_score", "top3_cc", "top3_score", "weak_top1_match",
+    "weak_top2_match", "weak_top3_match", "weak_region_match", "source_prediction_csv",
+)
+OPTIONAL = ("youtube_id", "pseudo_cc", "teacher_cc", "teacher_confidence", "teacher_margin", "pseudo_label_source", "whisper_language", "whisper_language_confidence", "source_prediction_csv")
+DECIMALS = ("duration", "teacher_confidence", "teacher_margin", "whisper_language_confidence", "top1_score", "margin", "entropy", "top2_score", "top3_score")
+
+
+def export_rows(rows: DataFrame) -> DataFrame:
+    """labelled() rows as they are exported: the columns of EXPORT, numbers with eight decimals, flags as 0 and 1, '' for what is missing."""
+    flags = {c for c, kind in rows.dtypes if kind == "boolean"}
+
+    def rendered(c: str) -> Column:
+        if c not in rows.columns:
+            return F.lit("").alias(c)
+        if c in DECIMALS:
+            return eight_decimals(F.col(c)).alias(c)
+        return (F.col(c).cast("int") if c in flags else F.coalesce(F.col(c), F.lit("")) if c in OPTIONAL else F.col(c)).alias(c)
+
+    return rows.select(*map(rendered, EXPORT))
+
+
+def export_order(rows: DataFrame, by: str = "sample_id") -> DataFrame:
+    """Rows in the order of an export: by sample_id, by `tar` and member, or `none`."""
+    keys = {"sample_id": ["sample_id"], "tar": ["tar_path", "member"], "none": []}[by]
+    return rows.orderBy(*keys) if keys else rows
+
+
+def weak_order(finished_rows: DataFrame, key: str) -> DataFrame:
+    """Rows of finished() by weak label: the best agreement first; ties by size, then name."""
+    return finished_rows.orderBy(F.desc("weak_top1_pct"), F.desc("n"), key)

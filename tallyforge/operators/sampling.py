@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import dims
+from .streams import order_key
 
 
 @pandas_udf(T.LongType())
@@ -26,7 +27,8 @@ def digest_half(key: pd.Series) -> pd.Series:
 
 
 def native_shard(value: Column, shards: int) -> Column:
-    return F.pmod(F.xxhash64(value), F.lit(shards))
+    """A stable shard of text without Python: 32 bits of md5, modulo the number of shards."""
+    return F.pmod(F.conv(F.substring(F.md5(value), 1, 8), 16, 10).cast("long"), F.lit(shards)).cast("int")
 
 
 def profile(rows: DataFrame) -> DataFrame:
@@ -72,14 +74,8 @@ def task_shard(groups: DataFrame, order: list[str], shards: int, index: int) ->
 
 
 def epoch_order(rows: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
-    """A shuffle that hangs on key, seed and epoch alone."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed + epoch * 7919)), key)
-
-
-def interleaved(rows: DataFrame, seed: int) -> DataFrame:
-    """Round robin over labels, each in a seeded order; exhausted labels drop out."""
-    w = Window.partitionBy("country_code").orderBy(F.xxhash64("sample_id", F.lit(seed)), "sample_id")
-    return rows.withColumn("turn", F.row_number().over(w)).orderBy("turn", F.xxhash64("country_code", F.lit(seed)), "sample_id")
+    """A shuffle that hangs on key, seed and epoch alone; order_key holds the order."""
+    return rows.withColumn("order_key", order_key(F.col(key), seed + epoch * 7919)).orderBy("order_key")
 
 
 def assigned(manifests: DataFrame, key: str, workers: int) -> DataFrame:
@@ -93,8 +89,6 @@ def assigned(manifests: DataFrame, key: str, workers: int) -> DataFrame:
     return turns.join(F.broadcast(named), F.pmod(F.col("worker"), F.lit(max(n, 1))) == F.col("place")).select(key, "worker")
 
 
-def bernoulli_mix(first: DataFrame, second: DataFrame, share: float, key: str, seed: int) -> DataFrame:
-    """Both streams in one seeded order in which `second` comes with probability share until one runs out."""
-    a = first.withColumn("stream", F.lit(0)).withColumn("at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64(key, F.lit(seed)))) / (1 - share))
-    b = second.withColumn("stream", F.lit(1)).withColumn("at", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.xxhash64(key, F.lit(seed)))) / share)
-    return a.unionByName(b).orderBy("at", "stream").drop("at")
+def target_labels(include=None, exclude=()) -> list[tuple[int, str]]:
+    """The label list after include and exclude."""
+    return [(k, c) for k, c, _, _ in dims.LABELS if (include is None or c in include) and c not in exclude]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.coerce import last_step
+from ..functions.coerce import last_step, ratio
 
 
 def markers(rows: DataFrame) -> DataFrame:
@@ -17,15 +17,24 @@ def markers(rows: DataFrame) -> DataFrame:
 
 
 def archive_stats(rows: DataFrame) -> DataFrame:
-    out = rows.groupBy("tar_path").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("decoded") == 1).alias("decoded"), F.count_if(F.col("decoded") != 1).alias("failed"), F.round(F.sum(F.when(F.col("decoded") == 1, F.col("duration")).otherwise(0.0)), 6).alias("duration"))
+    """Rows, decoded and failed ones and the duration of all rows of each archive."""
+    out = rows.groupBy("tar_path").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("decoded") == 1).alias("decoded"), F.count_if(F.col("decoded") != 1).alias("failed"), F.round(F.coalesce(F.sum("duration"), F.lit(0.0)), 6).alias("duration"))
     return out.withColumn("status", F.when(F.col("failed") == 0, "done").otherwise("partial"))
 
 
-def islands(values: DataFrame, col: str) -> DataFrame:
-    """Runs of consecutive whole numbers as text: a-b, or a."""
-    order = Window.orderBy(col)
-    runs = values.select(col).distinct().withColumn("run", F.col(col) - F.row_number().over(order))
-    out = runs.groupBy("run").agg(F.min(col).alias("low"), F.max(col).alias("high"))
+def islands(values: DataFrame, col: str, width: int = 1 << 16) -> DataFrame:
+    """Runs of consecutive whole numbers as text: a-b, or a.
+
+    Runs are found within ranges of `width` numbers; only their ends, where they touch the next range, meet in one task."""
+    part = F.floor(F.col(col) / width)
+    order = Window.partitionBy("part").orderBy(col)
+    runs = values.where(F.col(col).isNotNull()).select(col).distinct().withColumn("part", part).withColumn("run", F.col(col) - F.row_number().over(order))
+    runs = runs.groupBy("part", "run").agg(F.min(col).alias("low"), F.max(col).alias("high"))
+    # a run that reaches the end of its range goes on where the next range's first run begins at its start
+    before = F.max("high").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1))
+    joined = runs.withColumn("new", F.coalesce((F.col("low") > before + 1).cast("int"), F.lit(1)))
+    joined = joined.withColumn("group", F.sum("new").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, 0)))
+    out = joined.groupBy("group").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     return out.select("low", "high", F.when(F.col("low") == F.col("high"), F.col("low").cast("string")).otherwise(F.concat_ws("-", "low", "high")).alias("span"))
 
 
@@ -51,6 +60,20 @@ def work_summary(manifest: DataFrame) -> DataFrame:
     return by.agg(F.count(F.lit(1)).alias("shards"), F.sum("n").alias("rows"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"))
 
 
+def by_dataset(manifest: DataFrame) -> DataFrame:
+    """Rows of each dataset in each shard that has any."""
+    return manifest.groupBy("dataset", "shard_idx").agg(F.count(F.lit(1)).alias("n"))
+
+
+def paired(base: DataFrame, other: DataFrame, order: str, rows: str = "rows") -> DataFrame:
+    """Two file manifests side by side by place in the order of a column: (place, base_rows, cand_rows, ok); ok is false where
+    the counts differ or a side has no file. One row for each file, far fewer than rows."""
+    place = (F.row_number().over(Window.orderBy(order)) - 1).cast("int")
+    b, c = base.select(place.alias("place"), F.col(rows).alias("base_rows")), other.select(place.alias("place"), F.col(rows).alias("cand_rows"))
+    out = b.join(c, "place", "full_outer")
+    return out.withColumn("ok", F.col("base_rows").eqNullSafe(F.col("cand_rows")))
+
+
 def by_path(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("dataset", last_step(F.col("tar_path"), "cc").alias("cc")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -62,17 +85,25 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def status(marks: DataFrame, total_shards: int, minutes: int = 30) -> DataFrame:
-    """Progress, and throughput over the markers of the last minutes before the newest; null with fewer than two."""
+    """Progress in decoded rows: projection by the mean of the done shards, what remains, and the rates and times left
+    by the markers of the last minutes before the newest. Null with fewer than two of them, or no time between them;
+    the shards' rate also where all shards are done."""
     newest = marks.agg(F.max("mtime").alias("now"))
     recent = marks.join(F.broadcast(newest), F.col("mtime") >= F.col("now") - F.expr(f"interval {minutes} minutes"))
     seconds = F.unix_micros(F.max("mtime").cast("timestamp")) / 1e6 - F.unix_micros(F.min("mtime").cast("timestamp")) / 1e6
-    speed = recent.agg(F.count(F.lit(1)).alias("recent"), seconds.alias("seconds"), F.sum("csv_rows").alias("recent_rows"))
+    speed = recent.agg(F.count(F.lit(1)).alias("recent"), seconds.alias("seconds"), F.sum("decoded_rows").alias("recent_rows"))
     done = marks.agg(F.count(F.lit(1)).alias("done_shards"), F.sum("csv_rows").alias("rows"), F.sum("decoded_rows").alias("decoded"), F.sum("failed_rows").alias("failed"))
     able = (F.col("recent") >= 2) & (F.col("seconds") > 0)
-    return done.crossJoin(speed).select(
-        "done_shards", "rows", "decoded", "failed", F.round(100 * F.col("done_shards") / total_shards, 6).alias("done_pct"), F.round(F.col("rows") / F.col("done_shards") * total_shards, 6).alias("projected_rows"),
-        "recent", F.when(able, F.round((F.col("recent") - 1) * 3600 / F.col("seconds"), 6)).alias("shards_per_hour"), F.when(able, F.round(F.col("recent_rows") * 3600 / F.col("seconds"), 6)).alias("rows_per_hour"),
+    mean = F.col("decoded") / F.col("done_shards")
+    left = F.greatest(F.lit(0.0), mean * total_shards - F.col("decoded"))
+    shard_rate = F.when(able & (F.col("done_shards") >= 2) & (F.col("done_shards") < total_shards), (F.col("recent") - 1) * 3600 / F.col("seconds"))
+    row_rate = F.when(able, F.col("recent_rows") * 3600 / F.col("seconds"))
+    out = done.crossJoin(speed).select(
+        "done_shards", "rows", "decoded", "failed", ratio(100 * F.col("done_shards"), F.lit(total_shards)).alias("done_pct"), mean.alias("mean_decoded"), (mean * total_shards).alias("projected_decoded"), left.alias("remaining_decoded"),
+        "recent", shard_rate.alias("shards_per_hour"), F.when(shard_rate > 0, (total_shards - F.col("done_shards")) / shard_rate).alias("eta_hours"),
+        row_rate.alias("rows_per_hour"), F.when(row_rate > 0, left / row_rate).alias("row_eta_hours"),
     )
+    return out.select(*(F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes))
 
 
 def retry(rows: DataFrame, failed: DataFrame) -> DataFrame:
@@ -82,15 +113,14 @@ def retry(rows: DataFrame, failed: DataFrame) -> DataFrame:
     return whole.unionByName(rest)
 
 
-def file_chunks(rows: DataFrame, per_file: int, parts: int = 16) -> DataFrame:
+def file_chunks(rows: DataFrame, per_file: int, width: int = 1 << 16) -> DataFrame:
     """Files of per_file rows in sample order: number, rows, first and last sample.
 
-    Numbers come from ranges and their counts, not from one ordered window over all rows.
-    """
-    ranged = rows.select("sample_id").repartitionByRange(parts, "sample_id").sortWithinPartitions("sample_id")
-    ranged = ranged.withColumn("part", F.spark_partition_id())
-    counts = ranged.groupBy("part").agg(F.min("sample_id").alias("low"), F.count(F.lit(1)).alias("n"))
-    base = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    Numbers come from counts of fixed ranges of the sample ids and places within a range, not from one ordered window over
+    all rows; the ranges hang on the ids alone, so a step that is run again gives the same numbers."""
+    ranged = rows.select("sample_id", F.floor(F.col("sample_id") / width).alias("part"))
+    counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    base = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     number = F.row_number().over(Window.partitionBy("part").orderBy("sample_id")) - 1 + F.col("base")
-    out = ranged.join(F.broadcast(base), "part").withColumn("file_idx", F.floor(number / per_file))
+    out = ranged.join(base, "part").withColumn("file_idx", F.floor(number / per_file))
     return out.groupBy("file_idx").agg(F.count(F.lit(1)).alias("n"), F.min("sample_id").alias("first_sample"), F.max("sample_id").alias("last_sample"))

@@ -64,6 +64,8 @@ COUNTERS = f"""count(*) AS n, round(sum(duration) / 3600, 6) AS hours, round(avg
   {_STRONG} AS strong, count(*) FILTER (confidence_tier = 'usable') AS usable, count(*) FILTER (confidence_tier = 'low') AS low,
   count(*) FILTER (weak_top1_match) AS weak_top1, count(*) FILTER (weak_top2_match) AS weak_top2, count(*) FILTER (weak_top3_match) AS weak_top3,
   count(*) FILTER (weak_region_match) AS weak_region, {_pct(_STRONG, "count(*)")} AS strong_pct,
+  {_pct("count(*) FILTER (confidence_tier = 'usable')", "count(*)")} AS usable_pct, {_pct("count(*) FILTER (confidence_tier = 'low')", "count(*)")} AS low_pct,
+  {_pct("count(*) FILTER (weak_top2_match)", "count(*)")} AS weak_top2_pct, {_pct("count(*) FILTER (weak_top3_match)", "count(*)")} AS weak_top3_pct,
   {_pct("count(*) FILTER (weak_top1_match)", "count(*)")} AS weak_top1_pct, {_pct("count(*) FILTER (weak_region_match)", "count(*)")} AS weak_region_pct,
   {_pct("count(*) FILTER (confidence_tier = 'strong' AND weak_top1_match)", _STRONG)} AS strong_weak_top1_pct,
   {_pct("count(*) FILTER (confidence_tier = 'strong' AND weak_region_match)", _STRONG)} AS strong_weak_region_pct"""
@@ -102,10 +104,12 @@ TRANSITIONS = f"""SELECT policy, {", ".join(f"count(*) FILTER ({v}) AS {k}" for
   count(*) FILTER (NOT b AND c) - count(*) FILTER (b AND NOT c) AS net_gain FROM ({" UNION ALL ".join(f"SELECT '{n}' AS policy, changed, {n} AS b, cand_{n} AS c FROM both_sides" for n in NAMES)}) GROUP BY policy"""
 
 MARKERS = "SELECT shard, count(*) AS csv_rows, count(*) FILTER (decoded = 1) AS decoded_rows, count(*) FILTER (decoded <> 1) AS failed_rows, round(sum(duration), 6) AS duration_sec, max(ts) AS mtime FROM pred GROUP BY shard"
-STATUS = f"""SELECT a.done_shards, a.rows, a.decoded, a.failed, round(100 * a.done_shards / 16.0::DOUBLE, 6) AS done_pct, round(a.rows / a.done_shards::DOUBLE * 16, 6) AS projected_rows, r.recent,
-  CASE WHEN r.recent >= 2 AND r.s > 0 THEN round((r.recent - 1) * 3600 / r.s, 6) END AS shards_per_hour, CASE WHEN r.recent >= 2 AND r.s > 0 THEN round(r.rows * 3600 / r.s, 6) END AS rows_per_hour
+STATUS = f"""SELECT done_shards, rows, decoded, failed, round(100 * done_shards / 20::DOUBLE, 6) AS done_pct, round(decoded / done_shards::DOUBLE, 6) AS mean_decoded, round(decoded / done_shards::DOUBLE * 20, 6) AS projected_decoded,
+  round(decoded / done_shards::DOUBLE * 20 - decoded, 6) AS remaining_decoded, recent, round(shard_rate, 6) AS shards_per_hour, round((20 - done_shards) / shard_rate, 6) AS eta_hours,
+  round(row_rate, 6) AS rows_per_hour, round((decoded / done_shards::DOUBLE * 20 - decoded) / row_rate, 6) AS row_eta_hours
+  FROM (SELECT a.*, r.recent, CASE WHEN r.recent >= 2 AND r.s > 0 THEN (r.recent - 1) * 3600 / r.s END AS shard_rate, CASE WHEN r.recent >= 2 AND r.s > 0 THEN r.rows * 3600 / r.s END AS row_rate
   FROM (SELECT count(*) AS done_shards, sum(csv_rows)::BIGINT AS rows, sum(decoded_rows)::BIGINT AS decoded, sum(failed_rows)::BIGINT AS failed FROM ({MARKERS})) a,
-  (SELECT count(*) AS recent, epoch_us(max(mtime)) / 1e6 - epoch_us(min(mtime)) / 1e6 AS s, sum(csv_rows)::BIGINT AS rows FROM ({MARKERS}) WHERE mtime >= (SELECT max(ts) FROM pred) - INTERVAL 30 MINUTE) r"""
+  (SELECT count(*) AS recent, epoch_us(max(mtime)) / 1e6 - epoch_us(min(mtime)) / 1e6 AS s, sum(decoded_rows)::BIGINT AS rows FROM ({MARKERS}) WHERE mtime >= (SELECT max(ts) FROM pred) - INTERVAL 30 MINUTE) r)"""
 MANIFEST = "WITH manifest AS (SELECT doc_id AS sample_id, lang, source AS dataset, (doc_id % 32)::INT AS shard_idx FROM documents) "
 
 EVALS = """e1 AS (SELECT vec_id, label, [embedding[i]::DOUBLE * 8 + CASE WHEN i - 1 = label AND vec_id % 3 <> 0 THEN 1.0 ELSE 0.0 END::DOUBLE FOR i IN range(1, 24)] AS logits FROM embeddings),
@@ -138,7 +142,7 @@ METRICS = metrics()
 PER_CLASS_OUT = f"SELECT id, support, predicted, hit, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM {per_class()}"
 TWO_CLASS = f"""WITH t AS (SELECT CASE WHEN doc_id % 19 = 0 THEN -100 ELSE quality END AS truth, toxic AS pred FROM labels)
 SELECT m.*, i.ignored FROM ({metrics("t", 2)}) m, (SELECT count(*) FILTER (truth < 0) AS ignored FROM t) i"""
-RATIO = f"SELECT {code('id')} AS code, support, predicted, predicted - hit AS false_positives, CASE WHEN support > 0 THEN round(predicted / support::DOUBLE, 6) END AS ratio FROM {per_class()}"
+RATIO = f"SELECT {code('id')} AS code, support, predicted, predicted - hit AS false_positives, CASE WHEN support > 0 THEN round(predicted / support::DOUBLE, 6) END AS ratio FROM {per_class()} WHERE support + predicted > 0"
 
 
 def _bucket(value: str, limits, missing: str) -> str:
@@ -154,7 +158,9 @@ diag AS (SELECT *, s[1] AS top1, s[1] - s[2] AS margin, {_bucket("s[1]", dims.CO
 DIAG_ROWS = DIAG + "SELECT sample_id, round(top1, 6) AS top1, round(margin, 6) AS margin, round(entropy, 6) AS entropy, confidence_bucket, duration_bucket, chunk_bucket, correct FROM diag"
 QUANTILES = DIAG + "SELECT (k * 10)::INT AS percent, round(quantile_cont(top1, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])[k + 1], 6) AS value FROM diag, (SELECT unnest(range(0, 11)) AS k) GROUP BY k"
 BY_REGION = DIAG + """SELECT truth_region AS region, count(*) AS support, count(*) FILTER (correct) AS exact, count(*) FILTER (truth_region = pred_region) AS same_region,
-  round(count(*) FILTER (correct) / count(*)::DOUBLE, 6) AS accuracy, round(count(*) FILTER (truth_region = pred_region) / count(*)::DOUBLE, 6) AS region_accuracy FROM diag GROUP BY ALL"""
+  round(count(*) FILTER (correct) / count(*)::DOUBLE, 6) AS accuracy, round(count(*) FILTER (truth_region = pred_region) / count(*)::DOUBLE, 6) AS region_accuracy,
+  any_value(tops) AS predicted FROM diag JOIN (SELECT truth_region, string_agg(pred_region || ':' || k::VARCHAR, ', ' ORDER BY k DESC, pred_region) AS tops FROM (
+    SELECT truth_region, pred_region, count(*) AS k FROM diag GROUP BY truth_region, pred_region QUALIFY row_number() OVER (PARTITION BY truth_region ORDER BY k DESC, pred_region) <= 5) GROUP BY truth_region) USING (truth_region) GROUP BY truth_region"""
 BY_LABEL = DIAG + f""", pairs AS (SELECT truth, {code("pred")} AS c, count(*) AS k FROM diag WHERE NOT correct GROUP BY ALL),
 lists AS (SELECT truth, string_agg(c || ':' || k::VARCHAR, ', ' ORDER BY k DESC, c) AS confusions FROM (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY truth ORDER BY k DESC, c) <= 5) GROUP BY truth)
 SELECT l.code, count(d.sample_id) AS support, count(*) FILTER (d.correct) AS correct, CASE WHEN count(d.sample_id) > 0 THEN round(count(*) FILTER (d.correct) / count(d.sample_id)::DOUBLE, 6) END AS accuracy, coalesce(any_value(lists.confusions), '') AS confusions
@@ -164,17 +170,17 @@ BY_LABEL = BY_LABEL.replace("FROM d1) , pairs", "FROM d1), pairs")
 
 def by_bucket(col: str) -> str:
     return DIAG + f"""SELECT {col} AS bucket, count(*) AS support, count(*) FILTER (correct) AS correct, round(avg(top1), 6) AS mean_top1, round(avg(margin), 6) AS mean_margin, round(avg(entropy), 6) AS mean_entropy,
-  round(avg(duration_seconds), 6) AS mean_duration, round(count(*) FILTER (correct) / count(*)::DOUBLE, 6) AS accuracy FROM diag GROUP BY ALL"""
+  round(avg(1), 6) AS mean_crops, round(avg(chunks), 6) AS mean_chunks, round(avg(duration_seconds), 6) AS mean_duration, round(count(*) FILTER (correct) / count(*)::DOUBLE, 6) AS accuracy FROM diag GROUP BY ALL"""
 
 
 _WATCHED = "('AE', 'BH', 'JO', 'KW', 'OM', 'QA', 'SY')"
 _BASE = per_class("(SELECT * FROM ev WHERE source <> 0)")
-GATE = f"""SELECT name, ok FROM (SELECT unnest([{{'name': 'macro_f1', 'ok': t.macro_f1 - b.macro_f1 >= 0.002 - 1e-12}}, {{'name': 'accuracy', 'ok': t.accuracy - b.accuracy >= -0.002 - 1e-12}},
-  {{'name': 'weighted_f1', 'ok': t.weighted_f1 - b.weighted_f1 >= -0.001 - 1e-12}}, {{'name': 'ratios', 'ok': w.fails = 0}}, {{'name': 'watched_f1', 'ok': coalesce(w.kw >= 0.55, true)}}], recursive := true)
+GATE = f"""SELECT name, ok FROM (SELECT unnest([{{'name': 'macro_f1', 'ok': t.macro_f1 - b.macro_f1 >= 0.002}}, {{'name': 'accuracy', 'ok': t.accuracy - b.accuracy >= -0.002}},
+  {{'name': 'weighted_f1', 'ok': t.weighted_f1 - b.weighted_f1 >= -0.001}}, {{'name': 'ratios', 'ok': w.fails = 0}}, {{'name': 'watched_f1', 'ok': coalesce(w.kw >= 0.55, false)}}], recursive := true)
   FROM ({metrics("(SELECT * FROM ev WHERE source <> 0)", digits=None)}) b, ({metrics(digits=None)}) t,
-  (SELECT count(*) FILTER (abs(t.ratio - 1) > abs(b.ratio - 1) + 0.05 + 1e-12) AS fails, max(t.f1) FILTER (t.code = 'KW') AS kw
-   FROM (SELECT {code("id")} AS code, CASE WHEN support > 0 THEN predicted / support::DOUBLE ELSE 'Infinity'::DOUBLE END AS ratio FROM {_BASE}) b
-   JOIN (SELECT {code("id")} AS code, f1, CASE WHEN support > 0 THEN predicted / support::DOUBLE ELSE 'Infinity'::DOUBLE END AS ratio FROM {per_class()}) t USING (code) WHERE code IN {_WATCHED}) w)"""
+  (SELECT count(*) FILTER (abs(t.ratio - 1) > abs(b.ratio - 1) + 0.05) AS fails, (SELECT max(f1) FROM {per_class()} WHERE id = 8 AND support + predicted > 0) AS kw
+   FROM (SELECT {code("id")} AS code, CASE WHEN support > 0 THEN predicted / support::DOUBLE ELSE 'Infinity'::DOUBLE END AS ratio FROM {_BASE} WHERE support + predicted > 0) b
+   JOIN (SELECT {code("id")} AS code, f1, CASE WHEN support > 0 THEN predicted / support::DOUBLE ELSE 'Infinity'::DOUBLE END AS ratio FROM {per_class()} WHERE support + predicted > 0) t USING (code) WHERE code IN {_WATCHED}) w)"""
 BIAS = """SELECT split, count(*) AS n, round(avg((pred = truth)::INT), 6) AS before, round(avg((list_position(m, list_max(m)) - 1 = truth)::INT), 6) AS after
 FROM (SELECT *, [ln(greatest(probs[i], 1e-45)) + 0.05 * ((i - 1) % 3) FOR i IN range(1, 24)] AS m FROM ev) GROUP BY split"""
 REGION_MARGINALS = f"SELECT sample_id, region, round(sum(p), 6) AS p FROM (SELECT sample_id, unnest(probs) AS p, unnest({REGIONS}) AS region FROM ev) GROUP BY ALL"

@@ -64,15 +64,6 @@ query("J3_policy_expansion", O.final(f"SELECT sample_id, policy FROM ({' UNION A
 )
 
 
-@query("P9_final_labels", O.final("SELECT sample_id, manifest_row, tar_path, member, round(duration, 6) AS duration, weak_cc, weak_region, final_dialect, final_country, final_region, confidence_tier, strong_model_only::INT AS strong_model_only, sure_model_only::INT AS sure_model_only, top1_score, margin, entropy, top2_cc, top3_cc, weak_top1_match::INT AS weak_top1_match FROM final"))
-def final_labels(s, d):
-    bits = ("strong_model_only", "sure_model_only", "weak_top1_match")
-    return _rows(s, d).select(
-        "sample_id", "manifest_row", "tar_path", "member", F.round("duration", 6).alias("duration"), "weak_cc", "weak_region", "final_dialect", "final_country", "final_region", "confidence_tier",
-        "top1_score", "margin", "entropy", "top2_cc", "top3_cc", *(F.col(c).cast("int").alias(c) for c in bits),
-    )
-
-
 @query("N2_zero_null_policy", O.pred("SELECT count(*) AS n, count(*) FILTER (coalesce(entropy, 0) <= 0.6) AS passes_as_zero, count(*) FILTER (entropy <= 0.6) AS passes_as_null FROM pred WHERE decoded = 1"))
 def null_policies(s, d):
     rows = fixtures.predictions(s, d).where("decoded = 1")
@@ -85,13 +76,11 @@ query("A30_change_pairs", O.both("SELECT base_label, cand_label, count(*) AS n F
 query("A31_policy_transitions", O.both(O.TRANSITIONS))(lambda s, d: decisions.policy_transitions(_both(s, d)))
 query("J4_keyed_compare", O.both("SELECT sample_id, base_label, cand_label, changed FROM both_sides"))(lambda s, d: _both(s, d).select("sample_id", F.col("base_final_dialect").alias("base_label"), F.col("cand_final_dialect").alias("cand_label"), "changed"))
 query("W1_capped_subsets", O.final(f"SELECT policy, final_dialect, sample_id FROM ({O.POLICY_UNION}) QUALIFY row_number() OVER (PARTITION BY policy, final_dialect ORDER BY sample_id) <= 20"))(lambda s, d: decisions.capped(_rows(s, d), 20))
-query("A29_subset_counts", O.final(f"SELECT policy, final_dialect, count(*) AS scanned, least(count(*), 20) AS emitted, count(*) - least(count(*), 20) AS skipped_by_cap FROM ({O.POLICY_UNION}) GROUP BY ALL"))(lambda s, d: decisions.subset_counts(_rows(s, d), 20))
-query("A32_flag_sums", O.final(f"SELECT {', '.join(f'count(*) FILTER ({p.name}) AS {p.name}' for p in dims.POLICIES)} FROM final"))(lambda s, d: _rows(s, d).agg(*(F.count_if(F.col(p.name)).alias(p.name) for p in dims.POLICIES)))
 
 # Tracking.
-query("A27_archive_stats", O.pred("SELECT tar_path, count(*) AS n, count(*) FILTER (decoded = 1) AS decoded, count(*) FILTER (decoded <> 1) AS failed, round(coalesce(sum(duration) FILTER (decoded = 1), 0), 6) AS duration, CASE WHEN count(*) FILTER (decoded <> 1) = 0 THEN 'done' ELSE 'partial' END AS status FROM pred GROUP BY tar_path"))(lambda s, d: tracker.archive_stats(fixtures.predictions(s, d)))
+query("A27_archive_stats", O.pred("SELECT tar_path, count(*) AS n, count(*) FILTER (decoded = 1) AS decoded, count(*) FILTER (decoded <> 1) AS failed, round(coalesce(sum(duration), 0), 6) AS duration, CASE WHEN count(*) FILTER (decoded <> 1) = 0 THEN 'done' ELSE 'partial' END AS status FROM pred GROUP BY tar_path"))(lambda s, d: tracker.archive_stats(fixtures.predictions(s, d)))
 query("R1_shard_markers", O.pred(f"SELECT * FROM ({O.MARKERS})"))(lambda s, d: tracker.markers(fixtures.predictions(s, d)))
-query("A33_status", O.pred(O.STATUS))(lambda s, d: tracker.status(tracker.markers(fixtures.predictions(s, d)), 16))
+query("A33_status", O.pred(O.STATUS))(lambda s, d: tracker.status(tracker.markers(fixtures.predictions(s, d)), 20))
 
 
 @query("J10_reconcile", O.pred(f"SELECT m.shard, m.csv_rows, m.decoded_rows, c.seen, c.seen_decoded, m.csv_rows = c.seen AND m.decoded_rows = c.seen_decoded AS ok FROM (SELECT shard, csv_rows + CASE WHEN shard = 3 THEN 1 ELSE 0 END AS csv_rows, decoded_rows FROM ({O.MARKERS})) m JOIN (SELECT shard, count(*) AS seen, count(*) FILTER (decoded = 1) AS seen_decoded FROM pred GROUP BY shard) c USING (shard)"))
@@ -111,11 +100,9 @@ query("W2_islands", O.pred("SELECT min(u) AS low, max(u) AS high, CASE WHEN min(
     lambda s, d: tracker.islands(s.read.parquet(f"{d}/events.parquet"), "user_id").select("low", "high", "span")
 )
 query("W3_file_chunks", O.final("SELECT f AS file_idx, count(*) AS n, min(sample_id) AS first_sample, max(sample_id) AS last_sample FROM (SELECT sample_id, (row_number() OVER (ORDER BY sample_id) - 1) // 1000 AS f FROM final) GROUP BY f"))(lambda s, d: tracker.file_chunks(_rows(s, d), 1000))
-query("W8_last_writer", O.pred("SELECT tar_path, member, sample_id FROM pred QUALIFY row_number() OVER (PARTITION BY tar_path ORDER BY ts DESC, sample_id DESC) = 1"))(lambda s, d: tracker.latest(fixtures.predictions(s, d), ["tar_path"], ["ts", "sample_id"]).select("tar_path", "member", "sample_id"))
 query("U5_retry_rows", O.pred("SELECT shard, sample_id, CASE WHEN shard = 5 THEN 'shard' ELSE 'row' END AS reason FROM pred WHERE shard = 5 OR decoded <> 1"))(lambda s, d: tracker.retry(fixtures.predictions(s, d), s.sql("SELECT 5 AS shard")))
 query("A28_work_summary", O.MANIFEST + "SELECT count(*) AS shards, sum(n)::BIGINT AS rows, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM (SELECT shard_idx, count(*) AS n FROM manifest GROUP BY ALL)")(lambda s, d: tracker.work_summary(fixtures.manifest(s, d)))
 query("P19_label_from_path", O.MANIFEST + "SELECT dataset, CASE WHEN sample_id % 10 = 9 THEN '' ELSE upper(lang) END AS cc, count(*) AS n FROM manifest GROUP BY ALL")(lambda s, d: tracker.by_path(fixtures.manifest(s, d)))
-query("M5_native_shards", O.MANIFEST + "SELECT shard_idx, count(*) AS n FROM manifest GROUP BY ALL")(lambda s, d: fixtures.manifest(s, d).groupBy("shard_idx").agg(F.count(F.lit(1)).alias("n")))
 query("X1_digest_shards")(lambda s, d: fixtures.manifest(s, d).select("sample_id", sampling.digest_shard(F.col("tar_path"), F.lit(32)).alias("shard")))
 query("X2_digest_half")(lambda s, d: fixtures.manifest(s, d).select("sample_id", sampling.digest_half(F.concat_ws("|", F.col("sample_id").cast("string"), "dataset")).alias("half")))
 
@@ -202,8 +189,6 @@ query("A21_majority_label", O.PROFILE_ROWS + "SELECT row_group, country_code AS
 query("W4_label_quota", O.PROFILE_ROWS + "SELECT sample_id, country_code FROM (SELECT sample_id, country_code, row_number() OVER (PARTITION BY country_code ORDER BY sample_id) AS r FROM prof WHERE country_code IS NOT NULL) WHERE r <= 5 ORDER BY sample_id LIMIT 100")(lambda s, d: sampling.quota(fixtures.profile_rows(s, d).where("country_code is not null"), 100, 23))
 query("S5_task_shard", O.PROFILE_ROWS + "SELECT row_group FROM (SELECT DISTINCT row_group FROM prof) QUALIFY (row_number() OVER (ORDER BY row_group) - 1) % 3 = 1")(lambda s, d: sampling.task_shard(fixtures.profile_rows(s, d).select("row_group").distinct(), ["row_group"], 3, 1))
 query("M3_manifest_assignment", O.PROFILE_ROWS + "SELECT source, ((row_number() OVER (ORDER BY source) - 1) % 6)::INT AS worker FROM (SELECT DISTINCT source FROM prof)")(lambda s, d: sampling.assigned(fixtures.profile_rows(s, d).select("source").distinct(), "source", 6))
-query("M1_epoch_order")(lambda s, d: sampling.epoch_order(fixtures.profile_rows(s, d), "sample_id", 17, 2).select("sample_id"))
-query("R6_interleaved")(lambda s, d: sampling.interleaved(fixtures.profile_rows(s, d).where("country_code is not null"), 17).select("turn", "country_code", "sample_id"))
 
 # Audio geometry, on events' durations as lengths.
 _LENGTH = "(event_id * 37) % 100000"
@@ -222,3 +207,5 @@ query("B6_crop_starts", f"SELECT DISTINCT event_id, round_even(greatest({_LENGTH
 query("B7_chunk_counts", f"SELECT n, count(*) AS samples FROM (SELECT greatest(1, ceil(greatest({_LENGTH}, 1) / 30000.0))::INT AS n FROM events) GROUP BY n")(
     lambda s, d: _lengths(s, d).select(audio.chunk_count(F.col("length"), 30000).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("samples"))
 )
+
+from . import more as _more  # noqa: E402,F401  registers its queries

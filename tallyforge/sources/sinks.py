@@ -38,9 +38,12 @@ def document(spark: SparkSession, path: str, value: dict) -> None:
         stream.write(bytearray(json.dumps(value, sort_keys=True, indent=2, ensure_ascii=False).encode()))
     finally:
         stream.close()
-    fs.delete(target, False)
-    if not fs.rename(partial, target):
-        raise OSError(f"cannot move {partial} to {target}")
+    # FileContext renames over what is there in one step, so that a reader sees the old document or the new one.
+    jvm = spark.sparkContext._jvm
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(partial), fs.makeQualified(target), options)
 
 
 def metric_bundle(summary: DataFrame, classes: DataFrame, matrix: DataFrame, n: int) -> dict:
@@ -73,3 +76,57 @@ def writer_lock(spark: SparkSession, path: str, stale_s: float = -1):
         yield
     finally:
         fs.delete(target, False)
+
+
+def report_set(reports: dict[str, tuple[DataFrame, list[str]]], path: str) -> list[str]:
+    """Each report with its fixed columns as one CSV file in a folder of its name; reports are small by their grouping."""
+    out = []
+    for name, (df, columns) in reports.items():
+        df.select(*columns).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+        out.append(f"{path}/{name}")
+    return out
+
+
+def split_reports(reports: dict[str, DataFrame], split: str, path: str) -> list[str]:
+    """The reports of a split as CSV files `<split>_<report>`."""
+    return report_set({f"{file_name(split)}_{name}": (df, df.columns) for name, df in reports.items()}, path)
+
+
+def file_name(text: str) -> str:
+    return "".join(c if c.isalnum() or c in "._-" else "_" for c in text)
+
+
+def retry_manifest(rows: DataFrame, path: str) -> None:
+    """Rows to run again as JSON lines."""
+    rows.write.mode("overwrite").json(path)
+
+
+def log_event(spark: SparkSession, path: str, event: str, **values) -> None:
+    """One JSON document for each event of a run, in order of time; nothing is appended to, so writers never meet."""
+    document(spark, f"{path}/{time.time_ns():020d}-{file_name(event)}.json", {"event": event, "time": time.time(), **values})
+
+
+def events(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("multiLine", True).json(f"{path}/*.json").orderBy("time")
+
+
+IN_PROGRESS, SUCCESS = "_EXPORT_IN_PROGRESS", "_SUCCESS"
+
+
+@contextmanager
+def export_run(spark: SparkSession, path: str, stale_s: float = -1):
+    """A locked export: old outputs go, a marker stands while it is written, _SUCCESS with the given values once it is done.
+
+    Yields a dict for the values of the success marker. If the writing fails, the in-progress marker stays."""
+    fs, target = _fs(spark, path)
+    fs.mkdirs(target)
+    with writer_lock(spark, path, stale_s):
+        for old in fs.listStatus(target):
+            if old.getPath().getName() != "_lock":
+                fs.delete(old.getPath(), True)
+        document(spark, f"{path}/{IN_PROGRESS}", {"started": time.time()})
+        values: dict = {}
+        yield values
+        document(spark, f"{path}/{SUCCESS}", values)
+        _, marker = _fs(spark, f"{path}/{IN_PROGRESS}")
+        fs.delete(marker, False)

@@ -43,7 +43,7 @@ def test_paths_and_names(spark):
     assert [r[0] for r in df.select(coerce.last_step(F.col("p"), "cc")).collect()] == ["MA", "SA", ""]
     assert one(spark, coerce.file_safe(F.lit("a b/é.c"))) == "a_b_é.c"
     assert one(spark, coerce.number_in(F.lit("eval_step_450000_x"), r"_step_(\d+)_")) == 450000
-    assert one(spark, coerce.human_bytes(F.lit(1536))) == "1.5 KiB"
+    assert one(spark, coerce.human_bytes(F.lit(1536))) == "1.5KiB"
 
 
 def test_region_marginals_equal_summed_probabilities(spark):
