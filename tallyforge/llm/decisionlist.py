@@ -28,11 +28,12 @@ MOST_CONDITIONS = 4
 _SYMBOLS = "#*$%&|<>"
 
 
-def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def statistics(docs: DataFrame, text_col: str = "text", mask: int = -1) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long) of each whole text.
 
     Null and empty texts have zeros. docs must not have columns of these names or beginning with _q. Write the result
     before filtering on it: Spark would move the filter below the columns and compute them within it, again and again.
+    mask: bits of the windows' hashes that are used; results don't hang on it.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     blank = lambda c: F.translate(c, SPACE_CHARS, "")
@@ -45,18 +46,25 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
     }).drop("_q_lines")
     # Windows of three words as hash << bits | position in one long, so that a primitive sort brings equal ones together;
-    # neighbours count as equal only if their words are.
+    # neighbours count as equal only if their words are. Where two different windows share the bits that are left of the
+    # hash, they may part equal ones: such texts, very rare, are sorted by the words themselves.
     out = out.withColumn("_q_bits", F.expr("cast(ceil(log2(n_words + 1)) AS int)"))
-    out = out.withColumn("_q_all", F.expr("""sort_array(CASE WHEN n_words < 3 THEN cast(array() AS array<bigint>) ELSE
+    out = out.withColumn("_q_all", F.expr(f"""sort_array(CASE WHEN n_words < 3 THEN cast(array() AS array<bigint>) ELSE
         transform(sequence(0, cast(n_words AS int) - 3),
-          i -> shiftleft(xxhash64(_q_words[i], _q_words[i + 1], _q_words[i + 2]), _q_bits) | cast(i AS bigint)) END)"""))
+          i -> shiftleft(xxhash64(_q_words[i], _q_words[i + 1], _q_words[i + 2]) & {mask}L, _q_bits) | cast(i AS bigint)) END)"""))
     out = out.withColumn("_q_mask", F.expr("shiftleft(1L, _q_bits) - 1"))
+    shared = "coalesce(shiftright(x, _q_bits) = shiftright(get(_q_all, {0}), _q_bits), false)"
     same = """coalesce(shiftright(x, _q_bits) = shiftright(get(_q_all, {0}), _q_bits)
         AND _q_words[cast(x & _q_mask AS int)] = _q_words[cast(get(_q_all, {0}) & _q_mask AS int)]
         AND _q_words[cast(x & _q_mask AS int) + 1] = _q_words[cast(get(_q_all, {0}) & _q_mask AS int) + 1]
         AND _q_words[cast(x & _q_mask AS int) + 2] = _q_words[cast(get(_q_all, {0}) & _q_mask AS int) + 2], false)"""
     out = out.withColumn("_q_twice", F.expr(f"filter(_q_all, (x, j) -> {same.format('j - 1')} OR {same.format('j + 1')})"))
-    out = out.withColumn("_q_at", F.expr("sort_array(transform(_q_twice, x -> x & _q_mask))"))
+    out = out.withColumn("_q_clash", F.expr(f"size(filter(_q_all, (x, j) -> {shared.format('j + 1')} AND NOT {same.format('j + 1')})) > 0"))
+    out = out.withColumn("_q_texts", F.expr("""CASE WHEN _q_clash THEN array_sort(transform(sequence(0, cast(n_words AS int) - 3),
+        i -> struct(_q_words[i] AS a, _q_words[i + 1] AS b, _q_words[i + 2] AS c, cast(i AS bigint) AS at))) END"""))
+    equal = "coalesce(x.a = get(_q_texts, {0}).a AND x.b = get(_q_texts, {0}).b AND x.c = get(_q_texts, {0}).c, false)"
+    exact = f"transform(filter(_q_texts, (x, j) -> {equal.format('j - 1')} OR {equal.format('j + 1')}), x -> x.at)"
+    out = out.withColumn("_q_at", F.expr(f"sort_array(CASE WHEN _q_clash THEN {exact} ELSE transform(_q_twice, x -> x & _q_mask) END)"))
     gaps = "transform(_q_at, (x, j) -> least(3L, coalesce(get(_q_at, j + 1) - x, 3L)))"
     out = out.withColumn("n_repeat_words", F.expr(f"aggregate({gaps}, 0L, (a, x) -> a + x)"))
     return out.drop(*(c for c in out.columns if c.startswith("_q")))

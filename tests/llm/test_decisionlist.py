@@ -22,6 +22,13 @@ def test_statistics_match_brute_force(spark):
     assert out == {i: statistics(t) for i, t in rows}
 
 
+def test_statistics_are_exact_where_hashes_collide(spark):
+    rows = [(i, t) for i, t in enumerate(texts()) if len(t or "") < 10_000]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: tuple(r[n] for n in NAMES) for r in decisionlist.statistics(df, mask=3).collect()}
+    assert out == {i: statistics(t) for i, t in rows}
+
+
 def labelled(spark, n=1500):
     rng = random.Random(6)
     docs, labels = [], []
