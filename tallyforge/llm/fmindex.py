@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bound_batches, fresh
+from .shared import Workspace, fresh
 
 #: A phrase is this many consecutive words of a test item.
 WINDOW = 10
@@ -295,14 +295,17 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     An empty benchmark hits nothing. If docs has columns of these names, the new ones take underscores in front.
     """
     sc = docs.sparkSession.sparkContext
-    bound_batches(docs.sparkSession)
     names = fresh(docs, "n_words", "spans", "items")
     out = docs
     plain = [f for f in docs.schema.fields]
     extra = [T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))), T.StructField(names[2], T.ArrayType(T.StringType()))]
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in plain] + extra)
     text_at = [f.name for f in plain].index(text_col)
+    ws, sent = Workspace(docs.sparkSession, "overlaps"), None
     for k, block in enumerate(_blocks(benchmark, item_id, item_text)):
+        if sent is not None:  # one pass at a time: its phrases leave the executors before the next ones come
+            out = ws.write(out, "pass")
+            sent.destroy()
         found = Phrases.of(block, window)
         sent = sc.broadcast((found.vocabulary, found.matrix, found.length, found.owners))  # plain values: executors may lack this module
         old = (len(plain), len(plain) + 1, len(plain) + 2) if k else None
