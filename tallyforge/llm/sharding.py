@@ -86,11 +86,14 @@ def sharded(docs: DataFrame, shards: int = 16, seed: int = SEED, id_col: str = "
     """docs with the shard and the slot of every row; shards differ by one row at most, slots have no gaps.
 
     Row numbers follow the id (null last), then a hash of all columns: neither partitioning nor file order matters,
-    and repeated rows get places of their own. Any payload, null or long, is carried along.
+    and repeated rows get places of their own. Any payload, null or long, is carried along. If docs has columns of these
+    names, the new ones take underscores in front.
     """
     ws = Workspace(docs.sparkSession, "sharding")
     content, row = fresh(docs, "content", "row")
-    keyed = docs.withColumn(content, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    plain = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")  # noqa: E731  maps have no hash
+    keyed = docs.withColumn(content, F.xxhash64(*map(plain, docs.schema.fields)))
+    shard, slot = fresh(docs, shard, slot)
     out, n = numbered(ws, keyed, [id_col, content], row)
     out = out.withColumn(row, Feistel(n, seed).column(F.col(row)))
     return out.withColumn(shard, (F.col(row) % shards).cast("int")).withColumn(slot, F.floor(F.col(row) / shards).cast("long")).drop(content, row)
