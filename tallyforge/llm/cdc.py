@@ -115,7 +115,9 @@ class Chunker:
 
 
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(uid, id, text, digests, ends) of every row."""
+    """(uid, id, text, digests, ends) of every row; an error for ids that are no whole numbers."""
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{id_col} must hold whole numbers")
     chunker = Chunker()
 
     def run(batches):
