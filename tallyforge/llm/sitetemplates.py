@@ -308,10 +308,13 @@ def stored(root: Node) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
             events.append(number[id(x)])
             work.append(None)
             work.extend(reversed(x.children))
-    return (
-        np.array(events, np.int32), np.array([x.digest for x in order], np.uint64).view(np.int64), np.array([x.shape for x in order], np.uint64).view(np.int64),
-        np.array([_flags(x, semantic) for x in order], np.uint8), np.array([x.size for x in order], np.int32), texts,
-    )
+    flags = np.array([_flags(x, semantic) for x in order], np.uint8)
+    # hashes and sizes of elements that no template can hold are left out: zeros take no room once compressed
+    by_tree, by_shape = flags & _BY_TREE != 0, flags & _BY_SHAPE != 0
+    digests, shapes = (np.array([getattr(x, k) for x in order], np.uint64).view(np.int64) for k in ("digest", "shape"))
+    sizes = np.array([x.size for x in order], np.int32) * (by_tree | by_shape)
+    sizes[0] = root.size
+    return np.array(events, np.int32), digests * by_tree, shapes * by_shape, flags, sizes.astype(np.int32), texts
 
 
 def text_of(events, digests, shapes, flags, texts, by_tree, by_shape, lists: bool = True) -> str:
