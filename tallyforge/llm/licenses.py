@@ -2,8 +2,9 @@
 
 DataFrame expressions only. A file is cut into tokens once; the tokens that templates know bound its cosine to each of
 them (a text that shares the set S of a template's tokens has at most the norm of the template's weights in S), so most
-files are done with that. For the others lines, blocks and the whole text are scored within their rows: sorted tokens,
-run lengths, and a table of the templates' weights that is part of the plan; no token is ever shuffled. A file without
+files are done with that. Lines, blocks and texts of the others that counts of known and unknown tokens leave are scored
+within their rows: sorted tokens, run lengths, and a table of the templates' weights that is part of the plan; no token
+is ever shuffled. A file without
 a licence of its own takes that of the nearest directory above it with a licence file.
 """
 
@@ -137,28 +138,57 @@ class Scorer:
         reach = F.exists(F.sequence(F.lit(0), F.lit(len(self.names) - 1)), lambda k: mass(k) >= (least - 1e-5) ** 2)
         return df.withColumn(out, (F.size(shared) > 0) & reach).drop(shared)
 
+    def _runs(self, df: DataFrame, tokens_col: str, ends: str, runs: str) -> DataFrame:
+        """Adds runs: (tf, x) of each distinct token, x its entry; tokens_col must be sorted."""
+        s, n = tokens_col, F.size(tokens_col)
+        places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        df = df.withColumn(ends, F.filter(places, lambda i: (i == n) | (F.get(s, i - 1) != F.get(s, i))))
+        run = lambda e, j: F.struct((e - F.coalesce(F.get(ends, j - 1), F.lit(0))).alias("tf"), self._entry(F.get(s, e - 1)).alias("x"))
+        return df.withColumn(runs, F.transform(ends, run))
+
+    def _weight(self, run: Column) -> Column:
+        return run["tf"] * F.coalesce(run["x"]["i"], F.lit(self.other))
+
+    def _parts(self, runs: Column, more: Column) -> Column:
+        """(norm, w): the norm of runs and of `more`, the square of the rest's; products (k, v) of the templates' tokens."""
+        norm = F.sqrt(F.aggregate(runs, F.lit(0.0), lambda a, h: a + self._weight(h) * self._weight(h)) + more)
+        known = F.filter(runs, lambda h: h["x"].isNotNull())
+        shares = F.flatten(F.transform(known, lambda h: F.transform(h["x"]["w"], lambda w: F.struct(w["k"].alias("k"), (self._weight(h) * w["v"]).alias("v")))))
+        return F.struct(F.greatest(norm, F.lit(1e-9)).alias("norm"), shares.alias("w"))
+
+    @staticmethod
+    def _dot(parts: str, k) -> Column:
+        return F.aggregate(F.filter(F.col(parts)["w"], lambda e: e["k"] == k), F.lit(0.0), lambda a, e: a + e["v"])
+
+    def may_reach(self, df: DataFrame, tokens_col: str, least: float, out: str) -> DataFrame:
+        """Adds whether these tokens can reach the cosine for a template: exact, but for unknown tokens, which count once each."""
+        own, ends, runs, parts = fresh(df, "own", "ends", "runs", "parts")
+        df = df.withColumn(own, F.sort_array(F.filter(tokens_col, lambda t: self._entry(t).isNotNull())))
+        df = self._runs(df, own, ends, runs)
+        rest = (F.size(F.array_distinct(tokens_col)) - F.size(ends)) * self.other * self.other
+        df = df.withColumn(parts, self._parts(F.col(runs), rest))
+        reach = F.exists(F.sequence(F.lit(0), F.lit(len(self.names) - 1)), lambda k: self._dot(parts, k) >= (least - 1e-5) * F.col(parts)["norm"])
+        return df.withColumn(out, (F.size(F.col(parts)["w"]) > 0) & reach).drop(own, ends, runs, parts)
+
+    def likely(self, units: DataFrame, least: float) -> DataFrame:
+        """The units (..., tokens) that may reach the cosine. An explode drops the others: a filter would be moved below."""
+        keys = [c for c in units.columns if c != "tokens"]
+        (ok,) = fresh(units, "ok")
+        df = self.may_reach(units, "tokens", least, ok)
+        return df.select(*keys, F.explode(F.when(F.col(ok), F.array("tokens")).otherwise(F.array().cast("array<array<string>>"))).alias("tokens"))
+
     def scored(self, units: DataFrame, least: float) -> DataFrame:
         """units (..., tokens) with license and score of the best template, nulls where it doesn't reach `least` or lead.
 
         Nothing is filtered here: Spark would move a filter below these columns and compute them within it, again and again."""
         keys = [c for c in units.columns if c != "tokens"]
-        s, ends, runs, hits, parts, scores = fresh(units, "s", "ends", "runs", "hits", "parts", "scores")
-        df = units.withColumn(s, F.sort_array("tokens")).drop("tokens")
-        n = F.size(s)
-        places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-        df = df.withColumn(ends, F.filter(places, lambda i: (i == n) | (F.get(s, i - 1) != F.get(s, i))))
-        run = lambda e, j: F.struct(F.get(s, e - 1).alias("t"), (e - F.coalesce(F.get(ends, j - 1), F.lit(0))).alias("tf"))
-        df = df.withColumn(runs, F.transform(ends, run))
-        df = df.withColumn(hits, F.transform(runs, lambda r: F.struct(r["tf"].alias("tf"), self._entry(r["t"]).alias("x"))))
-        weight = lambda h: h["tf"] * F.coalesce(h["x"]["i"], F.lit(self.other))
-        norm = F.sqrt(F.aggregate(hits, F.lit(0.0), lambda a, h: a + weight(h) * weight(h)))
-        shares = F.flatten(F.transform(F.filter(hits, lambda h: h["x"].isNotNull()), lambda h: F.transform(h["x"]["w"], lambda w: F.struct(w["k"].alias("k"), (weight(h) * w["v"]).alias("v")))))
-        df = df.withColumn(parts, F.struct(norm.alias("norm"), shares.alias("w")))
+        s, ends, runs, parts, scores = fresh(units, "s", "ends", "runs", "parts", "scores")
+        df = self._runs(units.withColumn(s, F.sort_array("tokens")).drop("tokens"), s, ends, runs)
+        df = df.withColumn(parts, self._parts(F.col(runs), F.lit(0.0)))
         said = F.filter(F.array_distinct(s), lambda t: t.rlike(VERSION))
 
         def score(k: int) -> Column:
-            dot = F.aggregate(F.filter(F.col(parts)["w"], lambda e: e["k"] == k), F.lit(0.0), lambda a, e: a + e["v"])
-            value = F.round(dot / F.greatest(F.col(parts)["norm"], F.lit(1e-9)), 6)
+            value = F.round(self._dot(parts, k) / F.col(parts)["norm"], 6)
             if self.versions[k]:
                 own = F.array(*map(F.lit, self.versions[k]))
                 value = F.when((F.size(said) == 0) | F.arrays_overlap(said, own), value).otherwise(0.0)
@@ -200,9 +230,9 @@ def scan(files: DataFrame) -> DataFrame:
     # One pass over all texts; rows and their numbers are written, texts only where something may be found in them.
     rows = files.withColumn(uid, F.monotonically_increasing_id()).withColumn(directory, F.regexp_extract("path", r"(?s)^(?:(.*)/)?[^/]*$", 1))
     rows = rows.withColumn(toks, tokens(F.coalesce(F.col("text"), F.lit(""))))
-    for scorer, least, out in zip((short, short, long, long), (HEADER_COSINE, FILE_COSINE, HEADER_COSINE, FILE_COSINE), flags, strict=True):
-        rows = scorer.reaches(rows, toks, least, out)
-    some = F.col(flags[1]) | F.col(flags[3])  # the lower limits
+    rows = short.may_reach(short.reaches(rows, toks, HEADER_COSINE, flags[0]), toks, FILE_COSINE, flags[1])
+    rows = long.may_reach(long.reaches(rows, toks, HEADER_COSINE, flags[2]), toks, FILE_COSINE, flags[3])
+    some = F.col(flags[0]) | F.col(flags[1]) | F.col(flags[2]) | F.col(flags[3])
     rows = ws.write(rows.withColumn(held, F.when(some, F.col("text"))).drop("text", toks), "rows")
     hits = rows.where(F.col(held).isNotNull()).select(F.col(uid).alias("uid"), F.col(held).alias("text"), *(F.col(f).alias(n) for f, n in zip(flags, ("in_line", "in_file", "in_block", "in_text"), strict=True)))
 
@@ -212,7 +242,7 @@ def scan(files: DataFrame) -> DataFrame:
 
     def best(scorer: Scorer, flag: str, content: Column, least: float, n: str, name: str) -> DataFrame:
         """Of each file the number of units that reach the limit and the best one."""
-        found = scorer.scored(units(flag, content), least)
+        found = scorer.scored(scorer.likely(units(flag, content), least), least)
         first = F.min_by(F.struct("license", "score"), F.when(F.col("license").isNotNull(), F.struct(-F.col("score"), "line")))
         return ws.write(found.groupBy("uid").agg(F.count("license").alias(n), first.alias(name)).where(F.col(n) > 0), name)
 
