@@ -119,8 +119,8 @@ class Scorer:
         slots = spark.createDataFrame([(t,) for t in idf], "t string").select("t", F.pmod(F.xxhash64("t"), F.lit(self.size)).alias("h")).collect()  # the templates' vocabulary
         table: list[list] = [[] for _ in range(self.size)]
         for r in slots:
-            table[r["h"]].append({"t": r["t"], "i": idf[r["t"]], "w": by_token[r["t"]]})
-        self.table = F.from_json(F.lit(json.dumps(table)), "array<array<struct<t:string,i:double,w:array<struct<k:int,v:double>>>>>")
+            table[r["h"]].append({"t": r["t"], "i": idf[r["t"]], "m": max(e["v"] ** 2 for e in by_token[r["t"]]), "w": by_token[r["t"]]})
+        self.table = F.from_json(F.lit(json.dumps(table)), "array<array<struct<t:string,i:double,m:double,w:array<struct<k:int,v:double>>>>>")
         self.vocabulary = F.split(F.lit(" ".join(sorted(idf))), " ")
         self.margin = MARGIN if told_apart else 0.0
         self.versions = [versions(templates[n]) if told_apart else [] for n in self.names]
@@ -130,13 +130,17 @@ class Scorer:
         return F.get(F.filter(F.get(self.table, F.pmod(F.xxhash64(token), F.lit(self.size)).cast("int")), lambda x: x["t"] == token), F.lit(0))
 
     def reaches(self, df: DataFrame, tokens_col: str, least: float, out: str) -> DataFrame:
-        """Adds whether any text of these tokens can reach the cosine for a template."""
-        (shared,) = fresh(df, "shared")
-        known = F.array_intersect(tokens_col, self.vocabulary)
-        df = df.withColumn(shared, F.flatten(F.transform(known, lambda t: self._entry(t)["w"])))
+        """Adds whether any text of these tokens can reach the cosine for a template.
+
+        Most texts fail already by the sum of the largest weights of their tokens in any template."""
+        known, shared = fresh(df, "known", "shared")
+        limit = (least - 1e-5) ** 2
+        df = df.withColumn(known, F.transform(F.array_intersect(tokens_col, self.vocabulary), self._entry))
+        some = F.aggregate(known, F.lit(0.0), lambda a, x: a + x["m"]) >= limit
+        df = df.withColumn(shared, F.when(some, F.flatten(F.transform(known, lambda x: x["w"]))).otherwise(F.array().cast("array<struct<k:int,v:double>>")))
         mass = lambda k: F.aggregate(F.filter(shared, lambda e: e["k"] == k), F.lit(0.0), lambda a, e: a + e["v"] * e["v"])
-        reach = F.exists(F.sequence(F.lit(0), F.lit(len(self.names) - 1)), lambda k: mass(k) >= (least - 1e-5) ** 2)
-        return df.withColumn(out, (F.size(shared) > 0) & reach).drop(shared)
+        reach = F.exists(F.sequence(F.lit(0), F.lit(len(self.names) - 1)), lambda k: mass(k) >= limit)
+        return df.withColumn(out, (F.size(shared) > 0) & reach).drop(known, shared)
 
     def _runs(self, df: DataFrame, tokens_col: str, ends: str, runs: str) -> DataFrame:
         """Adds runs: (tf, x) of each distinct token, x its entry; tokens_col must be sorted."""
@@ -161,14 +165,18 @@ class Scorer:
         return F.aggregate(F.filter(F.col(parts)["w"], lambda e: e["k"] == k), F.lit(0.0), lambda a, e: a + e["v"])
 
     def may_reach(self, df: DataFrame, tokens_col: str, least: float, out: str) -> DataFrame:
-        """Adds whether these tokens can reach the cosine for a template: exact, but for unknown tokens, which count once each."""
-        own, ends, runs, parts = fresh(df, "own", "ends", "runs", "parts")
-        df = df.withColumn(own, F.sort_array(F.filter(tokens_col, lambda t: self._entry(t).isNotNull())))
-        df = self._runs(df, own, ends, runs)
-        rest = (F.size(F.array_distinct(tokens_col)) - F.size(ends)) * self.other * self.other
-        df = df.withColumn(parts, self._parts(F.col(runs), rest))
+        """Adds whether these tokens can reach the cosine for a template: exact, but for unknown tokens, which count once each.
+
+        Counts are taken for texts alone that reaches() leaves."""
+        sound, runs, rest, parts = fresh(df, "sound", "runs", "rest", "parts")
+        df = self.reaches(df, tokens_col, least, sound)
+        count = lambda t: F.size(tokens_col) - F.size(F.array_remove(tokens_col, t))
+        known = F.when(F.col(sound), F.array_intersect(tokens_col, self.vocabulary)).otherwise(F.array().cast("array<string>"))
+        df = df.withColumn(runs, F.transform(known, lambda t: F.struct(count(t).alias("tf"), self._entry(t).alias("x"))))
+        df = df.withColumn(rest, F.when(F.col(sound), (F.size(F.array_distinct(tokens_col)) - F.size(runs)) * self.other * self.other).otherwise(0.0))
+        df = df.withColumn(parts, self._parts(F.col(runs), F.col(rest)))
         reach = F.exists(F.sequence(F.lit(0), F.lit(len(self.names) - 1)), lambda k: self._dot(parts, k) >= (least - 1e-5) * F.col(parts)["norm"])
-        return df.withColumn(out, (F.size(F.col(parts)["w"]) > 0) & reach).drop(own, ends, runs, parts)
+        return df.withColumn(out, (F.size(F.col(parts)["w"]) > 0) & reach).drop(sound, runs, rest, parts)
 
     def likely(self, units: DataFrame, least: float) -> DataFrame:
         """The units (..., tokens) that may reach the cosine. An explode drops the others: a filter would be moved below."""
