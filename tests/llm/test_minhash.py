@@ -37,6 +37,37 @@ def test_components_match_brute_force(spark):
     assert result(minhash.near_duplicates(frame(spark, rows))) == components(rows, 85)
 
 
+def test_small_blocks_and_no_broadcast_lose_no_link(spark, monkeypatch):
+    """Buckets of several blocks, texts joined by id: many components share buckets, as the texts share most of their words."""
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(40)}"
+        rows.append((k, " ".join(words)))
+    assert result(minhash.near_duplicates(frame(spark, rows))) == components(rows, 85)
+    assert len({c for _, c, _ in components(rows, 85).values()}) > 3
+
+
+def test_long_texts_and_words_are_hashed_in_pieces():
+    import numpy as np
+    import pyarrow as pa
+
+    text = " ".join(f"w{k % 5000}x" for k in range(120_000)) + " " + "y" * 700_000 + " end of it all"
+    signer = minhash.Signer(minhash.Plan())
+    whole = [s for _, part in signer.sets(pa.array(["a b", text, "c"])) for s in part]
+    words = text.split()
+    hashes = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    assert len(whole) == 3 and len(whole[1]) == len(hashes)
+    again = next(signer.sets(pa.array(["", " \n" + text.upper()])))[1]
+    again = again[1] if len(again) > 1 else [s for _, part in signer.sets(pa.array([" \n" + text.upper()])) for s in part][0]
+    assert np.array_equal(whole[1], again)
+
+
 def test_lower_threshold_matches_brute_force(spark):
     rows = corpus()
     assert result(minhash.near_duplicates(frame(spark, rows), minhash.Plan(percent=80, rows=7))) == components(rows, 80)
