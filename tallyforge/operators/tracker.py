@@ -106,6 +106,18 @@ def status(marks: DataFrame, total_shards: int, minutes: int = 30) -> DataFrame:
     return out.select(*(F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes))
 
 
+def statuses(shards: DataFrame, done: DataFrame, failed: DataFrame) -> DataFrame:
+    """shards (shard, status) after a sync: done where nothing failed in the marker, else partial; a failed marker counts
+    after a done one; shards that were failed or partial and have no marker any more are pending again, but only if there
+    is a marker at all."""
+    marks = done.groupBy("shard").agg(F.max("failed_rows").alias("failed_rows")).withColumn("d", F.lit(True))
+    out = shards.join(marks, "shard", "left").join(failed.select("shard").distinct().withColumn("f", F.lit(True)), "shard", "left")
+    some = done.select(F.lit(1).alias("x")).unionByName(failed.select(F.lit(1).alias("x"))).agg((F.count(F.lit(1)) > 0).alias("some"))
+    status = F.when(F.col("f"), "failed").when(F.col("d"), F.when(F.coalesce("failed_rows", F.lit(0)) > 0, "partial").otherwise("done"))
+    kept = F.when(F.col("some") & F.col("status").isin("failed", "partial"), "pending").otherwise(F.col("status"))
+    return out.crossJoin(some).select("shard", F.coalesce(status, kept).alias("status"))
+
+
 def retry(rows: DataFrame, failed: DataFrame) -> DataFrame:
     """Everything of failed shards, and what was not decoded elsewhere."""
     whole = rows.join(F.broadcast(failed.select("shard").distinct()), "shard", "left_semi").select("shard", "sample_id", F.lit("shard").alias("reason"))

@@ -21,12 +21,17 @@ def merge(state: DataFrame | None, rows: DataFrame, keys: tuple[str, ...] = ("ta
 
 
 def sync(spark: SparkSession, markers_path: str, table_path: str, checkpoint: str):
-    """Reads the predictions of new markers and appends them by batch; a repeated batch overwrites its own part."""
+    """Reads the predictions of new markers into a table by shard; a shard whose marker comes again, or a batch that is
+    repeated, replaces the shard's rows, so no row is doubled."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        paths = [r["output_csv"] for r in batch.select("output_csv").collect()]  # one for each marker of the batch
+        name = F.substring_index("output_csv", "/", -1)
+        marks = batch.where("output_csv IS NOT NULL").groupBy(name.alias("_name")).agg(F.max("shard").alias("shard"), F.max("output_csv").alias("output_csv"))
+        paths = [r["output_csv"] for r in marks.select("output_csv").collect()]  # one for each marker of the batch
         if paths:
-            prediction_csv(spark, paths).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
+            rows = prediction_csv(spark, paths).drop("shard").withColumn("_name", F.substring_index("source_prediction_csv", "/", -1))
+            rows = rows.join(F.broadcast(marks.select("_name", "shard")), "_name").drop("_name")
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(table_path)
 
     return marker_stream(spark, markers_path).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -66,6 +66,16 @@ def test_islands_over_range_limits(spark):
     assert [r["span"] for r in got] == ["1-3", "5-9", "15-17", "30"]
 
 
+def test_shard_statuses(spark):
+    shards = spark.createDataFrame([(k, s) for k, s in enumerate(["pending", "failed", "partial", "running", "failed", "done"])], "shard int, status string")
+    done = spark.createDataFrame([(0, 0), (1, 2), (3, 0)], "shard int, failed_rows long")
+    failed = spark.createDataFrame([(3,)], "shard int")
+    got = [r["status"] for r in tracker.statuses(shards, done, failed).orderBy("shard").collect()]
+    assert got == ["done", "partial", "pending", "failed", "pending", "done"]
+    none = tracker.statuses(shards, done.where("false"), failed.where("false")).orderBy("shard").collect()
+    assert [r["status"] for r in none] == ["pending", "failed", "partial", "running", "failed", "done"]
+
+
 def test_text_helpers(spark):
     df = spark.createDataFrame([(0.123456789,), (None,)], "x double")
     assert [r[0] for r in df.select(coerce.eight_decimals(F.col("x"))).collect()] == ["0.12345679", ""]
