@@ -50,10 +50,10 @@ class Workspace:
         Workspace.open.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df as Parquet and reads it back; its lineage ends there."""
+        """Writes df as Parquet, tightly packed, and reads it back; its lineage ends there."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.tallyforge_path = path  # for drop()
         return out
