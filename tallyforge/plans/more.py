@@ -400,5 +400,6 @@ query("R5_balanced_replay")(lambda s, d: streams.balanced_replay(fixtures.eval_r
 query("B9_skipped_batches", "SELECT step, max(e) AS elements, max(e) > 2000 AS skipped FROM (SELECT l_orderkey // 10 AS step, l_linenumber % 2 AS rank, sum(l_quantity::BIGINT) AS e FROM lineitem GROUP BY ALL) GROUP BY step".replace("max(e) AS", "max(e)::BIGINT AS"))(
     lambda s, d: audio.kept_batches(s.read.parquet(f"{d}/lineitem.parquet").select(F.floor(F.col("l_orderkey") / 10).alias("step"), (F.col("l_linenumber") % 2).alias("rank"), F.col("l_quantity").cast("long").alias("e")), "step", "rank", "e", 2000)
 )
-query("B5_train_windows", None)(lambda s, d: audio.train_window(s.read.parquet(f"{d}/events.parquet").select("event_id", F.expr("(event_id * 37) % 100000").alias("length")), "length", 10_000, 3, "event_id", 7).select("event_id", "chunk_idx", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last")))
+query("B5_train_windows", f"""SELECT event_id, k::INT AS chunk_idx, (k * 10000)::BIGINT AS first, least((k + 1) * 10000, length)::BIGINT AS last FROM (SELECT event_id, length, unnest(range(s, least(s + 3, n))) AS k
+  FROM (SELECT event_id, length, n, floor({_draw('event_id', 'window', 7)} * (greatest(n - 3, 0) + 1))::BIGINT AS s FROM (SELECT event_id, (event_id * 37) % 100000 AS length, greatest(1, ceil(greatest((event_id * 37) % 100000, 1) / 10000.0))::BIGINT AS n FROM events)))""")(lambda s, d: audio.train_window(s.read.parquet(f"{d}/events.parquet").select("event_id", F.expr("(event_id * 37) % 100000").alias("length")), "length", 10_000, 3, "event_id", 7).select("event_id", "chunk_idx", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last")))
 query("A18_count_map", "SELECT unnest(['AE', 'EG']) AS code, unnest([3, 5])::BIGINT AS n")(lambda s, d: s.createDataFrame(list(readers.count_map('{"counts": {" ae": 3, "EG": 5, "": 1}}').items()), "code string, n long"))
