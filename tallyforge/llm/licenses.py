@@ -129,13 +129,14 @@ class Scorer:
         """The templates' entry of a token, null for others: a hash table lookup."""
         return F.get(F.filter(F.get(self.table, F.pmod(F.xxhash64(token), F.lit(self.size)).cast("int")), lambda x: x["t"] == token), F.lit(0))
 
-    def reaches(self, df: DataFrame, tokens_col: str, least: float, out: str) -> DataFrame:
-        """Adds whether any text of these tokens can reach the cosine for a template.
+    def reaches(self, df: DataFrame, tokens_col: str, least: float, out: str, words: str | None = None) -> DataFrame:
+        """Adds whether any text of these tokens can reach the cosine for a template; words: a column of their distinct
+        tokens in a larger vocabulary, if there is one already.
 
         Most texts fail already by the sum of the largest weights of their tokens in any template."""
         known, shared = fresh(df, "known", "shared")
         limit = (least - 1e-5) ** 2
-        df = df.withColumn(known, F.transform(F.array_intersect(tokens_col, self.vocabulary), self._entry))
+        df = df.withColumn(known, F.filter(F.transform(self._words(tokens_col, words), self._entry), lambda x: x.isNotNull()))
         some = F.aggregate(known, F.lit(0.0), lambda a, x: a + x["m"]) >= limit
         df = df.withColumn(shared, F.when(some, F.flatten(F.transform(known, lambda x: x["w"]))).otherwise(F.array().cast("array<struct<k:int,v:double>>")))
         mass = lambda k: F.aggregate(F.filter(shared, lambda e: e["k"] == k), F.lit(0.0), lambda a, e: a + e["v"] * e["v"])
@@ -164,14 +165,17 @@ class Scorer:
     def _dot(parts: str, k) -> Column:
         return F.aggregate(F.filter(F.col(parts)["w"], lambda e: e["k"] == k), F.lit(0.0), lambda a, e: a + e["v"])
 
-    def may_reach(self, df: DataFrame, tokens_col: str, least: float, out: str) -> DataFrame:
+    def _words(self, tokens_col: str, words: str | None) -> Column:
+        return F.array_intersect(tokens_col, self.vocabulary) if words is None else F.col(words)
+
+    def may_reach(self, df: DataFrame, tokens_col: str, least: float, out: str, words: str | None = None) -> DataFrame:
         """Adds whether these tokens can reach the cosine for a template: exact, but for unknown tokens, which count once each.
 
         Counts are taken for texts alone that reaches() leaves."""
         sound, runs, rest, parts = fresh(df, "sound", "runs", "rest", "parts")
-        df = self.reaches(df, tokens_col, least, sound)
+        df = self.reaches(df, tokens_col, least, sound, words)
         count = lambda t: F.size(tokens_col) - F.size(F.array_remove(tokens_col, t))
-        known = F.when(F.col(sound), F.array_intersect(tokens_col, self.vocabulary)).otherwise(F.array().cast("array<string>"))
+        known = F.when(F.col(sound), F.filter(self._words(tokens_col, words), lambda t: self._entry(t).isNotNull())).otherwise(F.array().cast("array<string>"))
         df = df.withColumn(runs, F.transform(known, lambda t: F.struct(count(t).alias("tf"), self._entry(t).alias("x"))))
         df = df.withColumn(rest, F.when(F.col(sound), (F.size(F.array_distinct(tokens_col)) - F.size(runs)) * self.other * self.other).otherwise(0.0))
         df = df.withColumn(parts, self._parts(F.col(runs), F.col(rest)))
@@ -238,10 +242,12 @@ def scan(files: DataFrame) -> DataFrame:
     # One pass over all texts; rows and their numbers are written, texts only where something may be found in them.
     rows = files.withColumn(uid, F.monotonically_increasing_id()).withColumn(directory, F.regexp_extract("path", r"(?s)^(?:(.*)/)?[^/]*$", 1))
     rows = rows.withColumn(toks, tokens(F.coalesce(F.col("text"), F.lit(""))))
-    rows = short.may_reach(short.reaches(rows, toks, HEADER_COSINE, flags[0]), toks, FILE_COSINE, flags[1])
-    rows = long.may_reach(long.reaches(rows, toks, HEADER_COSINE, flags[2]), toks, FILE_COSINE, flags[3])
+    (words,) = fresh(rows, "words")
+    rows = rows.withColumn(words, F.array_intersect(toks, F.array_union(short.vocabulary, long.vocabulary)))  # of either set of templates, once
+    rows = short.may_reach(short.reaches(rows, toks, HEADER_COSINE, flags[0], words), toks, FILE_COSINE, flags[1], words)
+    rows = long.may_reach(long.reaches(rows, toks, HEADER_COSINE, flags[2], words), toks, FILE_COSINE, flags[3], words)
     some = F.col(flags[0]) | F.col(flags[1]) | F.col(flags[2]) | F.col(flags[3])
-    rows = ws.write(rows.withColumn(held, F.when(some, F.col("text"))).drop("text", toks), "rows")
+    rows = ws.write(rows.withColumn(held, F.when(some, F.col("text"))).drop("text", toks, words), "rows")
     hits = rows.where(F.col(held).isNotNull()).select(F.col(uid).alias("uid"), F.col(held).alias("text"), *(F.col(f).alias(n) for f, n in zip(flags, ("in_line", "in_file", "in_block", "in_text"), strict=True)))
 
     def units(flag: str, content: Column) -> DataFrame:
