@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import fmindex, langmix, minhash, mixing, sharding
-from tallyforge.llm.shared import Workspace, fresh, table
+from tallyforge.llm.shared import Workspace, among, fresh, table
 
 #: A text is rejected if its best language has less than this share of it, or if it has no letter.
 LEAST_SHARE = 0.5
@@ -74,7 +74,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = ws.write(rows.select(uid, "doc_id").join(found, uid), "found")
     held.clear()
     kept = found.groupBy(group).agg(F.min_by(uid, F.struct(F.col("doc_id").isNull(), "doc_id", uid)).alias(uid))
-    return rows.join(kept.select(uid), uid, "left_semi").select(*docs.columns)
+    return among(rows, kept.select(uid), uid, ws, minhash.BROADCAST_IDS).select(*docs.columns)
 
 
 @_stage

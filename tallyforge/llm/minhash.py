@@ -21,17 +21,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .shared import Workspace
+from .shared import Workspace, among
 
 #: Members of one block of a bucket in the second round, and shingles of them all (8 bytes each), about.
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
-#: Up to this many ids (8 MB) are broadcast to pick the texts of candidates; with more, texts are shuffled by id.
+#: Up to this many rows (of one id, or of the bits of 64 numbers) are broadcast to pick nodes and the texts of candidates; with
+#: more, both sides are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Standard deviations that a sketch may be off before its pair is left out: about one in 10^6.
 SIGMAS = 5.0
@@ -193,7 +194,7 @@ def _lists(matrix: np.ndarray) -> pa.Array:
 
 
 def signed(docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, n_shingles, bands, sketch) of every row; node is null where the set is empty."""
+    """(id, digest, n_shingles, bands, sketch) of every row; digest is null where the set is empty."""
     signer = Signer(plan)
 
     def sign(batches):
@@ -204,28 +205,28 @@ def signed(docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFrame
                 bands, sketch = signer.keys(signer.signatures([sets[k] for k in full]))
                 place = np.full(len(sets), -1)
                 place[full] = np.arange(len(full))
-                nodes = [digest(s) if len(s) else None for s in sets]
+                digests = [digest(s) if len(s) else None for s in sets]
                 at = pa.array(place, mask=place < 0)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, len(sets)), pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), _lists(bands).take(at), _lists(sketch).take(at)],
-                    names=["id", "node", "n_shingles", "bands", "sketch"],
+                    [ids.slice(i, len(sets)), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), _lists(bands).take(at), _lists(sketch).take(at)],
+                    names=["id", "digest", "n_shingles", "bands", "sketch"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(sign, f"id {kind}, node binary, n_shingles long, bands array<long>, sketch array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(sign, f"id {kind}, digest binary, n_shingles long, bands array<long>, sketch array<long>")
 
 
 def _packed_texts(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(node, packed) of rows (text): the whole text, compressed, is a third of its set's size."""
+    """(digest, packed) of rows (text): the whole text, compressed, is a third of its set's size."""
     signer = Signer(plan)
 
     def pack(batches):
         for batch in batches:
             for i, sets in signer.sets(batch.column(0)):
                 texts = batch.column(0).slice(i, len(sets)).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in texts], pa.binary())], names=["node", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in texts], pa.binary())], names=["digest", "packed"])
 
-    return docs.select("text").mapInArrow(pack, "node binary, packed binary")
+    return docs.select("text").mapInArrow(pack, "digest binary, packed binary")
 
 
 def _apart(plan: Plan, left: str, right: str):
@@ -250,10 +251,10 @@ class _Sets:
 
     def __init__(self, signer: Signer, most: int = 24 << 20):
         self.signer, self.most = signer, most
-        self.held: dict[bytes, np.ndarray] = {}
+        self.held: dict[int, np.ndarray] = {}
         self.size = 0
 
-    def of(self, node: bytes, packed) -> np.ndarray:
+    def of(self, node: int, packed) -> np.ndarray:
         """packed: the text as an Arrow scalar, unpacked only if the set is not held."""
         if (found := self.held.get(node)) is None:
             plain = pa.array([zlib.decompress(packed.as_py())], pa.binary())
@@ -265,7 +266,7 @@ class _Sets:
             self.size += found.nbytes
         return found
 
-    def linked(self, a: bytes, pa_: pa.Scalar, b: bytes, pb: pa.Scalar) -> bool:
+    def linked(self, a: int, pa_: pa.Scalar, b: int, pb: pa.Scalar) -> bool:
         x, y = self.of(a, pa_), self.of(b, pb)
         both = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * both >= self.signer.plan.percent * (len(x) + len(y) - both)
@@ -284,10 +285,10 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
             keep = [sets.linked(a[k].as_py(), x[k], b[k].as_py(), y[k]) for k in range(len(batch))]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(confirm, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(confirm, "a long, b long")
 
 
-def _block_links(rows: pa.Table, plan: Plan, sets: _Sets) -> list[tuple[bytes, bytes]]:
+def _block_links(rows: pa.Table, plan: Plan, sets: _Sets) -> list[tuple[int, int]]:
     """Links that join the components of one block of a bucket, each confirmed; at most one fewer than its rows.
 
     rows: own (whether the row's own block is this one), rank (its block), minor, node, component, n, bands, sketch,
@@ -299,7 +300,7 @@ def _block_links(rows: pa.Table, plan: Plan, sets: _Sets) -> list[tuple[bytes, b
     bands = np.asarray(rows.column("bands").combine_chunks().flatten()).reshape(len(n), -1)[:, :band]
     sketch = np.asarray(rows.column("sketch").combine_chunks().flatten()).reshape(len(n), -1).view(np.uint64)
     node, packed = rows.column("node").to_pylist(), rows.column("packed")
-    _, root = np.unique(np.array([x.hex() for x in rows.column("component").to_pylist()]), return_inverse=True)
+    root = rows.column("component").to_numpy().copy()
     number = np.arange(len(n))
     here = rank[own][0] if own.any() else -1
     lanes = np.uint64(0x5555555555555555)
@@ -326,7 +327,7 @@ def _joined(members: DataFrame, plan: Plan) -> DataFrame:
 
     def links(held, sets):
         found = _block_links(pa.Table.from_batches(held), plan, sets)
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def join(batches):
         sets, held, key = _Sets(signer), [], None
@@ -345,7 +346,7 @@ def _joined(members: DataFrame, plan: Plan) -> DataFrame:
             yield links(held, sets)
 
     grouped = members.repartition("key", "block").sortWithinPartitions("key", "block", "own", "node")
-    return grouped.select("key", "block", *names).mapInArrow(join, "a binary, b binary")
+    return grouped.select("key", "block", *names).mapInArrow(join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, plan: Plan | None = None, id_col: str = "doc_id", text_col: str = "text", ws: Workspace | None = None) -> DataFrame:
@@ -361,17 +362,20 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None, id_col: str = "do
     ws = ws or Workspace(spark, "minhash")
     sig = ws.write(signed(docs, plan, id_col, text_col), "signatures")
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = sig.select("id", "node", "n_shingles")
-
-    nodes = ws.write(
-        sig.where("node is not null").groupBy("node").agg(F.min("id").alias("smallest"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
-        "nodes",
-    )
-    members = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("pivot")).where("m > 1")
-    buckets = ws.write(members.join(shared, "key"), "buckets")
-    near = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "smallest", "n", "bands", "sketch")
-    near = ws.write(near, "near")
+    # Nodes have numbers of their own, which take half the room of a digest wherever they are shuffled.
+    nodes = sig.where("digest is not null").groupBy("digest").agg(F.min("id").alias("smallest"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = ws.write(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    rows = ws.write(sig.select("id", "digest", "n_shingles"), "digests")
+    ws.drop(sig)
+
+    # One shuffle of keys and numbers finds the shared keys; a window spills what a key's many members take.
+    alike = Window.partitionBy("key")
+    members = nodes.select("node", F.explode("bands").alias("key"))
+    members = members.select("key", "node", F.count(F.lit(1)).over(alike).alias("m"), F.min("node").over(alike).alias("pivot"))
+    buckets = ws.write(members.where("m > 1").select("key", "node", "pivot"), "buckets")
+    near = ws.write(among(nodes, buckets.select("node"), "node", ws, BROADCAST_IDS), "near")
+    held, nodes = nodes, ws.write(nodes.select("digest", "node", "smallest"), "numbers")
+    ws.drop(held)
     labels = {x: near.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch")) for x in "ab"}
 
     # First round: each member and, of its buckets' smallest nodes, the one with which it shares the most buckets.
@@ -381,24 +385,23 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None, id_col: str = "do
     first = ws.write(stars.where(_near_enough(plan, "a", "b")).select("a", "b"), "stars")
 
     # The whole texts of the nodes that any pair may ask for; one row of documents for each.
-    wanted = near.select(F.col("smallest").alias("id"), "node")
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    ids = ws.write(wanted.select("id").distinct(), "ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    chosen = chosen.join(ids, chosen["id"].eqNullSafe(ids["id"]), "left_semi")
-    texts = _packed_texts(chosen, plan).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    chosen = among(chosen, near.select(F.col("smallest").alias("id")), "id", ws, BROADCAST_IDS)
+    texts = _packed_texts(chosen, plan).join(near.select("digest", "node"), "digest").dropDuplicates(["digest"]).drop("digest")
     texts = ws.write(texts, "texts")
     edges = ws.write(_confirmed(first, texts, plan), "links")
     labelled = components(ws, edges)
 
     # Second round: members of buckets that hold several components meet in blocks. The bucket's largest component is
     # major: its members stand in their own block alone; the others' members stand in every block.
-    named = ws.write(buckets.select("key", "band", "node", "n").join(labelled, "node", "left").select("key", "band", "node", "n", F.coalesce("component", "node").alias("component")), "named")
+    named = buckets.select("key", "node").join(near.select("node", "n"), "node").join(labelled, "node", "left")
+    named = ws.write(named.select("key", "node", "n", F.coalesce("component", "node").alias("component")), "named")
     sized = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("n"))
     sized = sized.groupBy("key").agg(F.max_by("component", F.struct("members", "component")).alias("major"), F.sum("members").alias("of"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
     blocks = F.ceil(F.greatest(F.col("of") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int")
     mixed = ws.write(sized.where("parts > 1").select("key", "major", blocks.alias("blocks")), "mixed")
     inside = named.drop("n").join(mixed, "key").join(near.select("node", "n", "bands", "sketch"), "node").join(texts, "node")
+    inside = inside.withColumn("band", (F.array_position("bands", F.col("key")) - 1).cast("int"))
     inside = inside.withColumn("minor", F.col("component") != F.col("major"))
     inside = inside.withColumn("rank", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     inside = inside.withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("rank"))))
@@ -410,9 +413,9 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None, id_col: str = "do
     # A row's answer: its node's component, and that component's smallest id.
     final = labelled.join(near.select("node", "smallest"), "node").groupBy("component").agg(F.min("smallest").alias("component_id"))
     final = labelled.join(final, "component").select("node", "component_id")
-    reach = nodes.select("node", "smallest").join(final, "node", "left").select("node", F.coalesce("component_id", "smallest").alias("component_id"))
+    reach = nodes.join(final, "node", "left").select("digest", F.coalesce("component_id", "smallest").alias("component_id"))
     reach = ws.write(reach, "reach")  # read back, so that a set that very many rows share is a skewed join that Spark can split
-    out = rows.where("node is not null").join(reach, "node").select("id", "n_shingles", "component_id")
-    out = out.unionByName(rows.where("node is null").select("id", "n_shingles", F.col("id").alias("component_id")))
+    out = rows.where("digest is not null").join(reach, "digest").select("id", "n_shingles", "component_id")
+    out = out.unionByName(rows.where("digest is null").select("id", "n_shingles", F.col("id").alias("component_id")))
     ws.drop(texts)
     return out.select(F.col("id").cast(kind).alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

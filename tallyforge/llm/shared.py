@@ -93,6 +93,23 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(1).cast("long")
 
 
+def among(df: DataFrame, chosen: DataFrame, name: str, ws: Workspace, most: int) -> DataFrame:
+    """The rows of df whose value of `name` (null too) is among the values of chosen, which has that column alone.
+
+    Whole numbers go as one row of bits for each 64 neighbours. Up to `most` rows are broadcast, so that df stays where
+    it is; with more, both sides are shuffled."""
+    value = F.col(name)
+    if df.schema[name].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        listed = ws.write(chosen.distinct(), "listed")
+        return df.join(F.broadcast(listed) if listed.count() <= most else listed, df[name].eqNullSafe(listed[name]), "left_semi")
+    value = value.cast("long")
+    place, bit = F.coalesce(F.shiftright(value, 6), F.lit(-(1 << 63))), value.bitwiseAND(F.lit(63)).cast("int")  # no number has that place
+    (at, bits) = fresh(df, "at", "bits")
+    words = ws.write(chosen.groupBy(place.alias(at)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias(bits)), "bits")
+    words = F.broadcast(words) if words.count() <= most else words
+    return df.withColumn(at, place).join(words, at).where(F.coalesce(F.getbit(bits, bit), F.lit(1)) == 1).select(*df.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

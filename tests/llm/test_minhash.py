@@ -1,8 +1,9 @@
 import random
 
+import pytest
 from brute import components
 
-from tallyforge.llm import minhash
+from tallyforge.llm import minhash, shared
 
 SCHEMA = "doc_id long, text string, node string, id string"
 
@@ -96,3 +97,39 @@ def test_null_ids_and_repeated_rows(spark):
 def test_bands_miss_less_than_stated():
     for plan in (minhash.Plan(), minhash.Plan(percent=80, rows=7)):
         assert (1 - (plan.percent / 100) ** plan.rows) ** plan.bands <= plan.miss
+
+
+def test_band_keys_are_shuffled_once_and_signatures_stay(spark, monkeypatch):
+    """Without a small side to broadcast, as on large tables: one shuffle of keys and numbers, none of the nodes' signatures."""
+    plans, write = {}, shared.Workspace.write
+
+    def noted(ws, df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return write(ws, df, name)
+
+    monkeypatch.setattr(shared.Workspace, "write", noted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = corpus()
+        assert result(minhash.near_duplicates(frame(spark, rows))) == components(rows, 85)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plans["buckets"].count("Exchange hashpartitioning") == 1
+    assert "Exchange hashpartitioning" not in plans["near"]
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_among_keeps_the_chosen_values_alone(spark, most, kind):
+    top = 2**31 - 1 if kind == "int" else 2**63 - 1
+    values = [None, 0, 1, 63, 64, -1, -64, -65, 5, 5, top, -top - 1, top - 1, -top]
+    chosen = [None, 1, 1, 64, -1, -65, 5, top, -top - 1, 77]
+    df = spark.createDataFrame([(v, k) for k, v in enumerate(values)], "id long, at long").selectExpr(f"cast(id as {kind}) AS id", "at")
+    ws = shared.Workspace(spark, "among")
+    for want in (chosen, chosen[1:], []):
+        picked = spark.createDataFrame([(v,) for v in want], "id long").selectExpr(f"cast(id as {kind}) AS id")
+        out = shared.among(df, picked, "id", ws, most)
+        assert out.schema == df.schema
+        assert sorted(r["at"] for r in out.collect()) == [k for k, v in enumerate(values) if v in want]
+    ws.clear()

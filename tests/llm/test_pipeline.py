@@ -43,3 +43,15 @@ def test_stages_against_brute_force(spark, sf_dir):
     counts = [sorted(r["slot"] for r in last if r["shard"] == s) for s in range(P.SHARDS)]
     assert all(c == list(range(len(c))) for c in counts) and max(map(len, counts)) - min(map(len, counts)) <= 1
     random.seed(0)
+
+
+def test_dedup_leaves_the_texts_where_they_are(spark, sf_dir):
+    """Without a small side to broadcast, as on large tables, the rows that stay are picked without a shuffle of the texts."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        plan = P.dedup(spark, docs, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
